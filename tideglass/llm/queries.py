@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import canonical, encoding, mixing, sentences
+from tideglass.llm import canonical, encoding, history, mainbody, mixing, residue, sentences
 from tideglass.plans.tables import table
 
 
@@ -22,6 +22,31 @@ def p1_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.workspace(spark, _load(spark, sf_dir)).where("ref_id = 0").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load = _load(spark, sf_dir)
+    return history.found(load("seen_jobs"), load("seen_batch"), load("ref_location"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.boilerplate(mainbody.workspace_pages(_load(spark, sf_dir)))
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered main body of every page text, HTML descriptions included."""
+    load = _load(spark, sf_dir)
+    html = load("ashby_job").select(F.lit("ashby_job.description_html").alias("field"), F.col("ashby_row").alias("row_id"), F.col("description_html").alias("text"))
+    return mainbody.bodies(mainbody.workspace_pages(load).unionByName(html))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flag(table(spark, sf_dir, "job_item")).select("ord", "field")
+
+
+def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagged fields with what was found in each."""
+    return residue.flag(table(spark, sf_dir, "job_item"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -40,5 +65,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p6_found, p6_reasons, p7_ids, p8_mix, p8_shares, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
