@@ -38,6 +38,7 @@ from tideglass.plans.tables import bounded_rows, cut
 
 MAX_PLACES = 200_000
 BLOCK_BITS = 16
+GROUP = 64
 IN_USE = 5
 IN_USE_SHARE = 0.05
 
@@ -93,16 +94,17 @@ def block(word: str) -> int:
     return xxhash.xxh32_intdigest(word) & ((1 << BLOCK_BITS) - 1)
 
 
-def rotations(scope: str, blocks: list[int]) -> list[int]:
-    """The keys of the rotated tables: the leading blocks when one block, or two neighbours, stand last."""
-    n, base, out = len(blocks), xxhash.xxh64_intdigest(scope), set()
+def rotations(scope: str, words: list[str]) -> list[tuple[int, str]]:
+    """(key, rest) of the rotated tables: the leading blocks when one block, or two neighbours, stand last, and the text of the last."""
+    blocks = [block(w) for w in words]
+    n, base, out = len(blocks), xxhash.xxh64_intdigest(scope), {}
     if n < 3:
         return []
     for size in (1, 2):
         for r in range(n - size + 1):
             lead = blocks[:r] + [-1] + blocks[r + size :]
-            out.add(xxhash.xxh64_intdigest(np.array(lead, dtype=np.int32).tobytes(), seed=base & 0xFFFFFFFF))
-    return [k - (1 << 64) if k >= 1 << 63 else k for k in out]
+            out[xxhash.xxh64_intdigest(np.array(lead, dtype=np.int32).tobytes(), seed=base & 0xFFFFFFFF)] = "".join(words[r : r + size])
+    return [(k - (1 << 64) if k >= 1 << 63 else k, rest) for k, rest in out.items()]
 
 
 def hamming(a: list[int], b: list[int]) -> int:
@@ -164,16 +166,27 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(representatives: DataFrame) -> DataFrame:
-    """(first_id, scope, words) -> (block_key, first_id, words): the rotated block tables, one row for each rotation."""
+    """(first_id, scope, words) -> (block_key, rest, first_id, words): the rotated block tables, one row for each rotation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [rotations(s, [block(w) for w in ws]) for s, ws in zip(batch["scope"], batch["words"], strict=True)]
+            keys = [rotations(s, list(ws)) for s, ws in zip(batch["scope"], batch["words"], strict=True)]
             counts = [len(k) for k in keys]
             index = np.repeat(np.arange(len(batch)), counts)
-            yield pd.DataFrame({"block_key": np.array([x for k in keys for x in k], dtype=np.int64), "first_id": batch["first_id"].to_numpy()[index], "words": batch["words"].to_numpy()[index]})
+            yield pd.DataFrame({"block_key": np.array([x for k in keys for x, _ in k], dtype=np.int64), "rest": [t for k in keys for _, t in k], "first_id": batch["first_id"].to_numpy()[index], "words": batch["words"].to_numpy()[index]})
 
-    return representatives.where(F.size("words") >= 3).mapInPandas(run, "block_key long, first_id long, words array<string>")
+    return representatives.where(F.size("words") >= 3).mapInPandas(run, "block_key long, rest string, first_id long, words array<string>")
+
+
+def split_large(tables: DataFrame) -> DataFrame:
+    """Tables in which no bucket is large: a bucket of over GROUP rows is split by the deletes of its rows' last block.
+
+    Texts within one edit share a delete, so no link is lost, and rows that differ freely no longer meet.
+    """
+    large = tables.groupBy("block_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("block_key")
+    deletes = F.expr("array_distinct(concat(array(rest), transform(sequence(1, length(rest)), i -> concat(substring(rest, 1, i - 1), substring(rest, i + 1)))))")
+    fine = tables.join(large, "block_key", "left_semi").withColumn("d", F.explode(deletes)).select(F.xxhash64("block_key", "d").alias("block_key"), "first_id", "words")
+    return tables.join(large, "block_key", "left_anti").select("block_key", "first_id", "words").unionByName(fine)
 
 
 def place_words(places: DataFrame | None) -> list[str]:
@@ -185,9 +198,10 @@ def place_words(places: DataFrame | None) -> list[str]:
 
 
 def links(stored: DataFrame, new: DataFrame, words: DataFrame, towns: list[str]) -> DataFrame:
-    """(earlier, later) pairs of representatives found through the tables; ``stored`` and ``new`` are rotated tables, ``words`` has the words in use."""
-    left = stored.select("block_key", F.col("first_id").alias("x"), F.col("words").alias("xw"))
-    right = new.select("block_key", F.col("first_id").alias("y"), F.col("words").alias("yw"))
+    """(earlier, later) pairs of representatives found through the tables; ``stored`` holds the rotated tables with those of ``new``, ``words`` has the words in use."""
+    split = split_large(stored)
+    left = split.select("block_key", F.col("first_id").alias("x"), F.col("words").alias("xw"))
+    right = split.join(new.select("first_id").distinct(), "first_id", "left_semi").select("block_key", F.col("first_id").alias("y"), F.col("words").alias("yw"))
     pairs = left.join(right, "block_key").where("x <> y").groupBy(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later")).agg(F.first("xw").alias("xw"), F.first("yw").alias("yw"))
     checked = pairs.withColumn("v", _verified("xw", "yw")).where("v.similar").select("earlier", "later", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
     if towns:
@@ -228,8 +242,7 @@ def found(history: DataFrame, batches: DataFrame, places: DataFrame | None = Non
     rows = cut(rows)
     groups = cut(rows.groupBy("scope", "words").agg(F.min("seen_id").alias("first_id"), F.max("is_new").alias("has_new")))
     tables = cut(fingerprints(groups))
-    newer = groups.where("has_new").select("first_id")
-    new = tables.join(newer, "first_id", "left_semi")
+    new = groups.where("has_new").select("first_id")
     accepted = settle(links(tables, new, words_in_use(groups), place_words(places)))
     by_group = groups.where("has_new").join(accepted, "first_id", "left").select("scope", "words", F.coalesce("accepted_id", "first_id").alias("accepted_id"))
     return rows.where("is_new").join(by_group, ["scope", "words"]).where("accepted_id < seen_id").select("accepted_id", "seen_id")
