@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import canonical, encoding, history, mainbody, mixing, residue, sentences
+from tideglass.llm import canonical, encoding, history, mainbody, matching, mixing, residue, sentences
 from tideglass.plans.tables import table
 
 
@@ -38,6 +38,17 @@ def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.bodies(mainbody.workspace_pages(load).unionByName(html))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load = _load(spark, sf_dir)
+    return matching.match(load("job_item"), load("ref_location")).select("ord_a", "ord_b")
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched pairs with score and confidence."""
+    load = _load(spark, sf_dir)
+    return matching.match(load("job_item"), load("ref_location"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flag(table(spark, sf_dir, "job_item")).select("ord", "field")
 
@@ -65,5 +76,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p6_found, p6_reasons, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p5_found, p5_confidence, p6_found, p6_reasons, p7_ids, p8_mix, p8_shares, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
