@@ -256,10 +256,9 @@ def render(root: Box) -> str:
             if block:
                 flush()
                 todo.append((None, ""))
-            lead = "• " if node.tag == "li" and not (node.children and isinstance(node.children[0], tuple) and node.children[0][0]) else ""
             todo += [(c, "") for c in reversed(node.children)]
-            if lead:
-                line.append(lead)
+            if node.tag == "li":
+                line.append("• ")
     flush()
     out = ""
     for k, b in enumerate(blocks):
