@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def strict_date(text: Column) -> Column:
@@ -51,10 +55,6 @@ def digest(value: Column) -> Column:
 
 def leaf_texts(json_text: Column, most_depth: int = 32) -> Column:
     """All texts in a JSON value, in order; nesting deeper than ``most_depth`` gives null."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     def walk(v: object, depth: int, out: list[str]) -> None:
         if depth > most_depth:

@@ -72,7 +72,7 @@ _GENERIC = f"CASE WHEN contains(t, '{{{{') OR contains(t, '}}}}') OR t IN ('care
 
 
 @query(
-    f"""WITH x AS (SELECT i.ord, coalesce(s.priority, 0) AS base, {mf(HAY)} AS h, {mf("title")} AS t, {mf("concat_ws(' ', coalesce(title, ''), coalesce(employment_type, ''), coalesce(position_level, ''))")} AS y FROM job_item i LEFT JOIN job_source s ON i.source = s.name)
+    f"""WITH x AS (SELECT i.ord, coalesce(priority, 0) AS base, {mf(HAY)} AS h, {mf("title")} AS t, {mf("concat_ws(' ', coalesce(title, ''), coalesce(employment_type, ''), coalesce(position_level, ''))")} AS y FROM job_item i LEFT JOIN (SELECT name AS source_name, priority FROM job_source) s ON i.source = s.source_name)
     SELECT ord, greatest(0, base + CASE WHEN {any_hit('h', TERMS.roles)} THEN 25 ELSE 0 END + CASE WHEN {any_hit('h', TERMS.core)} THEN 20 ELSE 0 END + least(30, 5 * {n_hits('h', TERMS.preferred)}) + least(12, 3 * {n_hits('h', TERMS.domains)})
     + CASE WHEN {any_hit('y', TERMS.graduate)} THEN 20 ELSE 0 END + CASE WHEN {any_hit('h', TERMS.places)} THEN 15 ELSE 0 END - CASE WHEN {any_hit('h', TERMS.other_places)} AND NOT {any_hit('h', TERMS.places)} THEN 35 ELSE 0 END
     + CASE WHEN {any_hit('h', TERMS.companies)} THEN 10 ELSE 0 END - least(80, 25 * {n_hits('h', TERMS.negative)}) - coalesce({_GENERIC}, 0))::INTEGER AS score FROM x"""
