@@ -27,7 +27,7 @@ Acme Labs, powered by cobalt-jobs.example
 
 
 def test_flattened_page():
-    assert M.hidden_lines(PAGE) == [1, 2, 4, 5, 6, 12, 13, 14, 15, 19, 20, 21, 22, 23, 24, 25]
+    assert M.hidden_lines(PAGE) == [1, 2, 4, 5, 6, 11, 12, 13, 14, 18, 19, 20, 21, 22, 23, 24]
 
 
 def test_defined_cases():

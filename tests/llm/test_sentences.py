@@ -79,5 +79,5 @@ def test_very_long_text():
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(1, "A b. C d.", 0), (1, "A b. C d.", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, start_char int")
-    assert sorted((r.doc_id, r.start_char, r.end_char) for r in S.split(df.drop("start_char")).collect()) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
+    df = spark.createDataFrame([(1, "Aa bb. Cc dd.", 0), (1, "Aa bb. Cc dd.", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, start_char int")
+    assert sorted((r.doc_id, r.start_char, r.end_char) for r in S.split(df.drop("start_char")).collect()) == [(1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13)]

@@ -193,8 +193,9 @@ def build_html(html: str) -> Box:
             if depth is not None:
                 del stack[depth:]
             continue
-        closes = next((k for k in range(len(stack) - 1, 0, -1) if name in CLOSED_BY.get(stack[k].tag, ())), None)
-        if closes is not None and not any(b.tag in ("table", "ul", "ol", "dl") for b in stack[closes + 1 :]):
+        while (closes := next((k for k in range(len(stack) - 1, 0, -1) if name in CLOSED_BY.get(stack[k].tag, ())), None)) is not None:
+            if any(b.tag in ("table", "ul", "ol", "dl") for b in stack[closes + 1 :]):
+                break
             del stack[closes:]
         if name in BLOCK and stack[-1].tag == "p":
             stack.pop()

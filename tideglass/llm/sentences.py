@@ -31,6 +31,8 @@ NEVER = frozenset(
     aprox ej p.ej env ex p.ex mme mlle mm mme z.b d.h u.a o.ä bzw zzgl inkl vgl abs str evtl ggf usw.u mio mrd jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc enero dez okt
     gen col sgt capt rev hon gov sen rep mt ft av bd dept est n.º núm pág डॉ श्री प्रो د م أ""".split()
 )
+# Titles, which are short forms only where they begin with a capital ("Ms. Osk", but "5 ms.").
+TITLES = frozenset("dr mr mrs ms prof st hr fr sr sra srta mme mlle gen col sgt capt rev hon gov sen rep".split())
 # Abbreviations that may end a sentence; the next word decides.
 MAYBE = frozenset("inc ltd corp co llc plc gmbh ag s.a sa kk k.k pty jr sr.jr u.s e.u u.k u.n u.s.a a.m p.m p.a etc al usw etcétera a.d b.c bros".split())
 # Words written small that begin a sentence all the same.
@@ -146,6 +148,10 @@ def _after_point(text: str, start: int, end: int) -> bool:
     gap, nxt = j > k, text[j]
     word = _joined(text, start)
     low = word.lower().strip(".")
+    if "." in low and low not in NEVER and low not in MAYBE and low.rsplit(".", 1)[1] in (TITLES | MAYBE):
+        low = low.rsplit(".", 1)[1]  # "The task.Dr. Osk"
+    if low in TITLES and word.rsplit(".", 1)[-1].islower():
+        low = ""
     if not gap:
         if closed:
             return False if nxt.islower() or nxt in ",;:.!?" else not nxt.isdigit()
