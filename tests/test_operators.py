@@ -46,17 +46,15 @@ def test_score(spark):
     terms = postings.Terms(roles=["engineer"], preferred=["python"], places=["bern"], other_places=["rome"], negative=["senior"])
     rows = [("Engineer", "python", "", "", "Bern", "", ""), ("Senior engineer", "", "", "", "Rome", None, ""), ("Internal platform", "", "", "", None, "", "")]
     df = spark.createDataFrame(rows, "title string, snippet string, url string, company string, location string, employment_type string, position_level string")
-    points, reasons = postings.score(terms, F.lit(5))
-    got = df.select(points.alias("p"), reasons.alias("r")).collect()
-    assert [g.p for g in got] == [5 + 25 + 5 + 15, 0, 5]
-    assert got[0].r == ["source +5", "role: engineer", "keywords +5: python", "location: bern"]
+    got = postings.score(df.withColumn("priority", F.lit(5)), terms, "priority").collect()
+    assert [g.score for g in got] == [5 + 25 + 5 + 15, 0, 5]
+    assert got[0].reasons == ["source +5", "role: engineer", "keywords +5: python", "location: bern"]
 
 
 def test_empty_profile_scores_nothing(spark):
     df = spark.createDataFrame([("a", None, None, None, None, None, None)], "title string, snippet string, url string, company string, location string, employment_type string, position_level string")
-    points, reasons = postings.score(postings.Terms(), F.lit(None).cast("int"))
-    row = df.select(points.alias("p"), reasons.alias("r")).collect()[0]
-    assert (row.p, row.r) == (0, [])
+    row = postings.score(df.withColumn("priority", F.lit(None).cast("int")), postings.Terms(), "priority").collect()[0]
+    assert (row.score, row.reasons) == (0, [])
 
 
 def test_flags(spark):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # What counts as white space: the Unicode spaces and the four separators that Java's \s leaves out.
-SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
+SPACE = r"(?U:[\s\x{1c}-\x{1f}])"
 
 # Substrings of links and titles that look like recruiting.
 LINK_SIGNALS = ["job", "career", "position", "campus", "graduate", "intern", "recruit", "招聘", "校招", "岗位", "职位", "实习"]
@@ -54,6 +55,11 @@ def unescape(text: Column) -> Column:
     return _strings(html.unescape)(text)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -95,13 +101,20 @@ def quote_regex(term: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", term)
 
 
+_WHOLE = r"[a-z0-9][a-z0-9 +.,/-]*"
+
+
+def plain_term(term: str) -> str:
+    return " ".join(html.unescape(term).split()).translate(str.maketrans("’‘“”–—", "''\"\"--")).lower()
+
+
 def has_term(haystack: Column, term: str) -> Column:
     """Whether a normalised text holds a term: plain ASCII terms as whole words, others anywhere."""
-    t = " ".join(html.unescape(term).split()).translate(str.maketrans("’‘“”–—", "''\"\"--")).lower()
+    t = plain_term(term)
     if not t:
         return F.lit(False)
-    if re.fullmatch(r"[a-z0-9][a-z0-9 +.,/-]*", t):
-        return haystack.rlike(rf"(?<![a-z0-9]){quote_regex(t)}(?![a-z0-9])")
+    if re.fullmatch(_WHOLE, t):
+        return haystack.contains(t) & haystack.rlike(rf"(?<![a-z0-9]){quote_regex(t)}(?![a-z0-9])")
     return haystack.contains(t)
 
 
@@ -113,13 +126,17 @@ def hits(haystack: Column, terms: list[str]) -> Column:
 
 
 def any_term(haystack: Column, terms: list[str]) -> Column:
-    """One literal pattern for all ASCII terms, so that the text is scanned once; no terms means no condition."""
+    """One literal pattern for all terms, so that the text is scanned once; no terms means no condition."""
     if not terms:
         return F.lit(True)
-    out = F.lit(False)
-    for t in terms:
-        out = out | has_term(haystack, t)
-    return out
+    plain = [t for t in map(plain_term, terms) if t]
+    whole = [quote_regex(t) for t in plain if re.fullmatch(_WHOLE, t)]
+    parts = [quote_regex(t) for t in plain if not re.fullmatch(_WHOLE, t)]
+    patterns = [rf"(?<![a-z0-9])(?:{'|'.join(whole)})(?![a-z0-9])"] * bool(whole) + parts
+    if not patterns:
+        return F.lit(False)
+    near = reduce(Column.__or__, [haystack.contains(t) for t in plain])  # a plain search first: most texts hold none
+    return near & haystack.rlike("|".join(patterns)) if whole else near
 
 
 def all_terms(haystack: Column, terms: list[str]) -> Column:
@@ -154,8 +171,7 @@ def markup_text(markup: Column) -> Column:
 
 def excerpt(text: Column, limit: int) -> Column:
     """A cleaned text of at most ``limit`` characters, ending in dots where it was cut."""
-    x = squeeze(text)
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("...")))
+    return let(squeeze(text), lambda x: F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))))
 
 
 def snippet(company: Column, location: Column, employment: Column, description: Column, limit: int = 1200) -> Column:
@@ -178,12 +194,14 @@ def segments(text: Column) -> Column:
 
 def kind(segment: Column) -> Column:
     """nice_to_have, preferred, required or unclassified: the first kind with a term in the segment."""
-    form = squeezed_match_form(segment)
-    out = None
-    for name, terms in KIND_TERMS.items():
-        found = any_term(form, terms)
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return out.otherwise("unclassified")
+
+    def named(form: Column) -> Column:
+        out = F
+        for name, terms in KIND_TERMS.items():
+            out = out.when(any_term(form, terms), name)
+        return out.otherwise("unclassified")
+
+    return let(squeezed_match_form(segment), named)
 
 
 def requirement_buckets(text: Column) -> Column:

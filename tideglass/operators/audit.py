@@ -25,11 +25,13 @@ def is_example(path: Column) -> Column:
 
 def sensitive(line: Column, example: Column) -> Column:
     """The categories of sensitive content of a line; in examples, reserved domains and sample numbers are allowed."""
-    found = lambda pattern: F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    assigned = F.exists(found(ASSIGNMENT), lambda v: (F.length(v) >= 6) & ~v.rlike(STAND_IN))
-    mail = F.exists(found(EMAIL), lambda d: ~(example & F.lower(d).rlike(RESERVED_DOMAIN)))
-    card = F.exists(found(IDENTITY_CARD), lambda n: ~(example & (n == SAMPLE_CARD)))
-    digits = F.transform(F.concat(*[found(p) for p in PHONES]), lambda n: F.regexp_replace(n, r"\D", ""))
+    none = F.array().cast("array<string>")
+    found = lambda pattern, guard: F.when(guard, F.regexp_extract_all(line, F.lit(pattern), F.lit(1))).otherwise(none)
+    digits_at_all = line.rlike(r"\d{3}")
+    assigned = F.exists(found(ASSIGNMENT, line.rlike("[:=]") & line.rlike("(?i)key|token|passw|secret|cookie")), lambda v: (F.length(v) >= 6) & ~v.rlike(STAND_IN))
+    mail = F.exists(found(EMAIL, line.contains("@")), lambda d: ~(example & F.lower(d).rlike(RESERVED_DOMAIN)))
+    card = F.exists(found(IDENTITY_CARD, line.rlike(r"\d{17}")), lambda n: ~(example & (n == SAMPLE_CARD)))
+    digits = F.transform(F.concat(*[found(p, digits_at_all) for p in PHONES]), lambda n: F.regexp_replace(n, r"\D", ""))
     phone = F.exists(digits, lambda n: (F.length(n) >= 7) & ~(example & ((n == SAMPLE_PHONE) | n.rlike("^0+$"))))
     return F.array_compact(
         F.array(

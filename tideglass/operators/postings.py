@@ -45,46 +45,48 @@ def accepts(location_any: list[str] = (), title_any: list[str] = (), any_of: lis
     return T.any_term(place, list(location_any)) & T.any_term(title, list(title_any)) & T.any_term(form(haystack()), list(any_of)) & T.all_terms(title, list(title_all))
 
 
-def score(terms: Terms, priority: Column, form=T.match_form) -> tuple[Column, Column]:
-    """(points, reasons): weighted term hits, never below 0; reasons in the order of the rules."""
-    hay = form(haystack())
-    young = form(F.concat_ws(" ", _filled("title"), _filled("employment_type"), _filled("position_level")))
-    base = F.coalesce(priority, F.lit(0))
-    found = {k: T.hits(hay, getattr(terms, k)) for k in ("roles", "core", "preferred", "domains", "places", "other_places", "companies", "negative")}
-    found["graduate"] = T.hits(young, terms.graduate)
-    found["generic"] = T.generic_title(F.col("title"), terms.generic_titles)
-    n = {k: F.size(v) for k, v in found.items()}
+def score(items: DataFrame, terms: Terms, priority: str, form=T.match_form) -> DataFrame:
+    """``items`` with ``score`` and ``reasons``: weighted term hits, never below 0; reasons in the order of the rules.
+
+    The searched texts and the hits are columns of their own, so that each is computed once for a row.
+    """
+    kept = [F.col(c) for c in items.columns]
+    young = F.concat_ws(" ", _filled("title"), _filled("employment_type"), _filled("position_level"))
+    texts = items.select(*kept, F.coalesce(priority, F.lit(0)).alias("_base"), form(haystack()).alias("_hay"), form(young).alias("_young"))
+    lists = {k: T.hits(F.col("_hay"), getattr(terms, k)) for k in ("roles", "core", "preferred", "domains", "places", "other_places", "companies", "negative")}
+    lists |= {"graduate": T.hits(F.col("_young"), terms.graduate), "generic": F.coalesce(T.generic_title(F.col("title"), terms.generic_titles), F.array().cast("array<string>"))}
+    found = texts.select(*kept, "_base", *[v.alias(f"_{k}") for k, v in lists.items()])
+    n = {k: F.size(f"_{k}") for k in lists}
     some = lambda k, points: F.when(n[k] > 0, points).otherwise(0)
-    keyword, domain, minus = F.least(F.lit(30), 5 * n["preferred"]), F.least(F.lit(12), 3 * n["domains"]), F.least(F.lit(80), 25 * n["negative"])
+    base, keyword, domain, minus = F.col("_base"), F.least(F.lit(30), 5 * n["preferred"]), F.least(F.lit(12), 3 * n["domains"]), F.least(F.lit(80), 25 * n["negative"])
     away = (n["other_places"] > 0) & (n["places"] == 0)
     total = base + some("roles", 25) + some("core", 20) + keyword + domain + some("graduate", 20) + some("places", 15) + some("companies", 10) - minus - some("generic", 35) - F.when(away, 35).otherwise(0)
-    say = lambda k, words, most: F.when(n[k] > 0, F.concat(words, F.array_join(F.slice(found[k], 1, most), ", ")))
+    first = lambda k, most: F.array_join(F.slice(f"_{k}", 1, most), ", ")
+    say = lambda k, words, most: F.when(n[k] > 0, F.concat(words, first(k, most)))
     reasons = F.array_compact(
         F.array(
             F.when(base != 0, F.concat(F.lit("source +"), base.cast("string"))), say("roles", F.lit("role: "), 3), say("core", F.lit("core: "), 4),
             say("preferred", F.concat(F.lit("keywords +"), keyword.cast("string"), F.lit(": ")), 5), say("domains", F.concat(F.lit("discovery hints +"), domain.cast("string"), F.lit(": ")), 4),
-            say("graduate", F.lit("fresh grad: "), 3), say("places", F.lit("location: "), 3), F.when(away, F.concat(F.lit("non-target location -35: "), F.array_join(F.slice(found["other_places"], 1, 3), ", "))),
+            say("graduate", F.lit("fresh grad: "), 3), say("places", F.lit("location: "), 3), F.when(away, F.concat(F.lit("non-target location -35: "), first("other_places", 3))),
             say("companies", F.lit("company: "), 3), say("negative", F.concat(F.lit("negative -"), minus.cast("string"), F.lit(": ")), 4), say("generic", F.lit("generic link -35: "), 3),
         )
     )
-    return F.greatest(F.lit(0), total), reasons
+    return found.select(*kept, F.greatest(F.lit(0), total).alias("score"), reasons.alias("reasons"))
 
 
 def flags(internship: list[str], internship_places: list[str], years_allowed: list[str], blocked: list[str], other_places: list[str], as_of: Column, form=T.match_form) -> Column:
     """Reasons to look twice at a posting; rows are never dropped by them."""
-    hay, place = form(haystack()), form(_filled("location"))
-    years = F.array_sort(F.array_distinct(F.regexp_extract_all(haystack(), F.lit(r"(20\d{2})\s*届"), F.lit(1))))
-    years = F.filter(years, lambda y: ~y.isin(years_allowed)) if years_allowed else F.array().cast("array<string>")
     expires = F.regexp_extract(_filled("expires"), r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
-    found = F.array_compact(
-        F.array(
-            F.when(T.any_term(hay, internship) & T.any_term(place, internship_places), "internship outside its places") if internship and internship_places else F.lit(None).cast("string"),
-            F.when(T.any_term(hay, blocked), "blocked keyword") if blocked else F.lit(None).cast("string"),
-            F.when(T.any_term(place, other_places), "other place") if other_places else F.lit(None).cast("string"),
-            F.when(expires < as_of, "expired"),
-        )
-    )
-    return F.concat(F.transform(years, lambda y: F.concat(F.lit("graduation year "), y)), found)
+    raw = F.struct(haystack().alias("raw"), form(haystack()).alias("hay"), form(_filled("location")).alias("place"))
+
+    def found(x: Column) -> Column:
+        years = F.array_sort(F.array_distinct(F.regexp_extract_all(x.raw, F.lit(r"(20\d{2})\s*届"), F.lit(1))))
+        named = F.transform(F.filter(years, lambda y: ~y.isin(years_allowed)), lambda y: F.concat(F.lit("graduation year "), y)) if years_allowed else F.array().cast("array<string>")
+        rules = [(T.any_term(x.hay, internship) & T.any_term(x.place, internship_places), "internship outside its places")] * bool(internship and internship_places)
+        rules += [(T.any_term(x.hay, blocked), "blocked keyword")] * bool(blocked) + [(T.any_term(x.place, other_places), "other place")] * bool(other_places) + [(expires < as_of, "expired")]
+        return F.concat(named, F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, w in rules])))
+
+    return T.let(raw, found)
 
 
 def needs_detail(minimum: int) -> Column:

@@ -80,8 +80,7 @@ _GENERIC = f"CASE WHEN contains(t, '{{{{') OR contains(t, '}}}}') OR t IN ('care
 def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "job_source").select(F.col("name").alias("source"), "priority")
     items = table(spark, d, "job_item").select("ord", "title", "snippet", "url", "company", "location", "employment_type", "position_level", "source")
-    points, _ = postings.score(TERMS, F.col("priority"), form=T.squeezed_match_form)
-    return items.join(sources, "source", "left").select("ord", F.coalesce(points, F.lit(0)).cast("int").alias("score"))
+    return postings.score(items.join(sources, "source", "left"), TERMS, "priority", form=T.squeezed_match_form).select("ord", F.col("score").cast("int").alias("score"))
 
 
 _SEGMENTS = f"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(translate(x, '’‘“”–—', '''''\"\"--'), '(?i)\\b((?:minimum|required|preferred|nice to have|nice-to-have|bonus){SPACE}+(?:qualifications?|requirements?)\\b)', '\n\\1', 'g'),
