@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import text as T
 from tideglass.functions import urls as U
+from tideglass.plans.tables import bounded_rows
+
+MAX_REGIONS = 1_000
 
 
 def filled_counts(rows: DataFrame, dims: DataFrame, keys: list[str], name: str = "n_rows") -> DataFrame:
@@ -43,7 +46,7 @@ def classify(rows: DataFrame, text: str, aliases: DataFrame, internship: list[st
     ``aliases`` (region, alias) is a bounded table; an alias of two regions is an issue of its rows.
     """
     form = T.ledger_form(F.col(text))
-    names = aliases.groupBy("region").agg(F.collect_list("alias").alias("names")).collect()
+    names = bounded_rows(aliases.groupBy("region").agg(F.collect_list("alias").alias("names")), MAX_REGIONS, "regions")
     region_hits = F.array_compact(F.array(*[F.when(_labels(form, r.names), F.lit(r.region)) for r in names]))
     before = F.regexp_extract(form, r"^([^（(]*)", 1)
     region_before = F.array_compact(F.array(*[F.when(_labels(before, r.names), F.lit(r.region)) for r in names]))

@@ -381,8 +381,8 @@ def unknown_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def identity_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that name a company and an id, against the postings of that company."""
-    none = F.array().cast("array<string>")
-    events = table(spark, d, "documents").where("company is not null and job_id is not null").select(F.col("doc_id").alias("event_id"), F.array("company").alias("companies"), F.array("job_id").alias("ids"), F.lit("").alias("role"), none.alias("urls"))
-    rows = table(spark, d, "job_item").select(F.col("ord").alias("row_id"), "company", F.coalesce("title", F.lit("")).alias("role"), F.array_compact(F.array("job_id")).alias("ids"), F.array_compact(F.array("url")).alias("urls"))
-    return ledger.identity_matches(events, rows.where("company is not null"))[0]
+    """Postings of the employers' own feeds against those of boards, by company and id."""
+    items = table(spark, d, "job_item").where("company is not null").select("ord", "company", F.coalesce("title", F.lit("")).alias("role"), "url", F.regexp_extract_all(F.coalesce("job_id", F.lit("")), F.lit(r"0*(\d{7,})"), F.lit(1)).alias("ids"), F.col("source_type").isin("ashby", "greenhouse", "lever", "html", "baidu_campus").alias("own"))
+    events = items.where("own").select(F.col("ord").alias("event_id"), F.array("company").alias("companies"), "ids", "role", F.array_compact(F.array("url")).alias("urls"))
+    rows = items.where("not own").select(F.col("ord").alias("row_id"), "company", "role", "ids", F.array_compact(F.array("url")).alias("urls"))
+    return ledger.identity_matches(events, rows)[0]
