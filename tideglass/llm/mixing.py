@@ -93,15 +93,17 @@ def select(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[
     histogram = rows.groupBy("source", "bucket", "part").agg(F.sum("tokens").alias("tokens"))
     upto = Window.partitionBy("source").orderBy("bucket")
     histogram = histogram.withColumn("after", F.sum("tokens").over(upto)).withColumn("before", F.col("after") - F.col("tokens"))
-    border = histogram.where((F.col("before") < F.col("part")) & (F.col("after") > F.col("part"))).select("source", "bucket", "before")
-    full = histogram.where(F.col("after") <= F.col("part")).select("source", "bucket").withColumn("inside", F.lit(1))
-    in_border = rows.join(F.broadcast(border), ["source", "bucket"])
+    whole_bucket, split_bucket = F.col("after") <= F.col("part"), (F.col("before") < F.col("part")) & (F.col("after") > F.col("part"))
+    # one row for each target: sums only grow, so the buckets up to ``upto`` are taken as a whole and ``split`` in part
+    limits = histogram.groupBy("source").agg(F.max(F.when(whole_bucket, F.col("bucket"))).alias("upto"), F.max(F.when(split_bucket, F.col("bucket"))).alias("split"), F.max(F.when(split_bucket, F.col("before"))).alias("before"))
+    limited = rows.join(F.broadcast(limits), "source")
+    in_border = limited.where(F.col("bucket") == F.col("split"))
     within = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_border = in_border.withColumn("after", F.col("before") + F.sum("tokens").over(within))
     taken = (F.col("part") - (F.col("after") - F.col("tokens"))) >= F.col("tokens") / 2  # at most half a document beyond the cut
     in_border = in_border.select("doc_id", "source", "tokens", (F.col("whole") + F.when(taken, 1).otherwise(0)).alias("n_copies"))
-    others = rows.join(F.broadcast(border.select("source", "bucket")), ["source", "bucket"], "left_anti").join(F.broadcast(full), ["source", "bucket"], "left")
-    others = others.select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce("inside", F.lit(0))).alias("n_copies"))
+    inside = F.coalesce(F.col("bucket") <= F.col("upto"), F.lit(False)) & (F.col("part") > 0)
+    others = limited.where(~F.col("bucket").eqNullSafe(F.col("split"))).select("doc_id", "source", "tokens", (F.col("whole") + F.when(inside, 1).otherwise(0)).alias("n_copies"))
     chosen = others.unionByName(in_border).where("n_copies > 0")
     actual = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_copies")).alias("actual_tokens"), F.max("n_copies").alias("most_copies"))
     report = planned.join(actual, "source", "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0).cast("long")))
