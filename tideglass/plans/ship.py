@@ -18,7 +18,11 @@ def ship(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="tideglass-ship-"), "tideglass.zip")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = shared if shared.startswith("/") else None  # beside the checkpoints where that is a folder
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(tempfile.mkdtemp(prefix="tideglass-ship-", dir=folder), "tideglass.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(package):
             for f in sorted(files):
