@@ -27,3 +27,15 @@ def test_flags(spark):
     assert got[2, "title"] == ["field_name"] and (1, "title") not in got and (3, "snippet") not in got
     assert got[4, "snippet"] == ["variable"] and all(got[100 + k, "snippet"] == ["repeated_page"] for k in range(3))
     assert R.flag(df.limit(0)).count() == 0
+
+
+def test_aligned_slots(spark):
+    towns = ["Bern", "Oslo", "Rome", "Lima", "Kyiv", "Bonn", "Graz", "Nice"]
+    rows = [(k, "one", f"Acme {w}; {w}; {{{{workModel}}}}; Come to {w}.") for k, w in enumerate(towns)]
+    rows += [(100 + k, "two", f"Dear ${{firstName}}, welcome to our team. Desk {w}.") for k, w in enumerate(towns)]
+    rows += [(200 + k, "three", f"Acme; The pay is {p} a year, plus bonus; {w}") for k, (w, p) in enumerate(zip(towns, ["10", "much", "good", "{{salaryRange}}", "fair", "fine", "null", "low"], strict=True))]
+    rows += [(300 + k, "four", f"Acme; {w}; {t}") for k, (w, t) in enumerate([*((w, f"Hiring {n} in {w}.") for w in towns for n in range(4)), *((w, "You maintain ${VAR} substitution in our scripts.") for w in towns)])]
+    rows += [(400, "five", "Acme; Work model:"), *((401 + k, "five", f"Acme; Work model: {x}") for k, x in enumerate(["office", "remote", "hybrid"])), (410, "six", "Acme; Work model:")]
+    df = spark.createDataFrame([(o, None, t, "Acme", s) for o, s, t in rows], "ord long, title string, snippet string, company string, source string")
+    got = {r.ord: r.reasons for r in R.flag(df).collect()}
+    assert set(got) == {*range(8), *range(100, 108), 203, 206, 400} and set(map(tuple, got.values())) == {("variable",)}

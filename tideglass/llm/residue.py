@@ -1,14 +1,21 @@
 """Template residue, filler and error pages in short fields (problem 6).
 
-Method: records of the same template are aligned to find their slots. A placeholder candidate is a
-name within template delimiters; its surroundings are the neighbouring words. Over all records each
-name is counted by delimiter style and by surroundings: a variable name that templates left behind
-stands in several styles or surroundings (it fills slots), a literal that a sentence is about always
-stands in the same one. Names of the schema (title, company, location ...) count as variables where
-the counts cannot decide. Slots that hold defaults or blanks of a serialiser (nan, null, [object
-Object]) and filler phrases are flagged as well. Whole fields without any slot of their own record
+Method: records of the same template are aligned to find their slots. A field is cut into parts
+(between semicolons, lines, sentences). A part with a name within template delimiters, a serialiser's
+default or a label without a value is a skeleton: its words outside of that place. The place is a slot
+if parts of the same source and field with an equal skeleton hold at least RECURS other values there;
+a name that is a part by itself is compared with the parts at its position. A name that a template
+never fills varies nowhere: it is in a slot if its whole part belongs to the template's frame, that is,
+to at least half of the different texts (and FRAME of them) of its source and field, or of those of
+them with as many separators. Besides, over all records each name is counted by delimiter style and
+by surroundings: a variable name that templates left behind stands in several styles or surroundings
+(it fills slots), a literal that a sentence is about always stands in the same one. Names of the schema
+(title, company, location ...) count as variables where alignment and counts cannot decide. Fields with
+defaults or blanks of a serialiser (nan, null, [object Object]) for values and filler phrases are flagged
+as well. Whole fields without any slot of their own record
 that recur over several companies are repeated page templates; fields that consist of nothing but
-error or script notices are flagged also where they occur once.
+error or script notices are flagged also where they occur once. An empty part between two semicolons
+is a blank value and no residue; a null source is a source of its own.
 
 Defined cases: null and blank fields are no residue; a field that merely talks about such things is
 none; repeated rows are flagged alike; one row for each flagged field, with its reasons elsewhere.
@@ -18,17 +25,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import chain
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from tideglass.llm.matching import signed
 from tideglass.plans.tables import cut
 
 RECURS = 3
+# The different texts that must share a part of a template's frame, the words a slot's value may have, and the table size up to which a join is a broadcast.
+FRAME, SLOT_WORDS, SMALL = 6, 6, 100_000
 
 _ID = r"[A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)*"
 # The delimiters of common template languages.
@@ -137,20 +147,162 @@ def own_reasons(text: str | None) -> tuple[list[str], list[tuple[str, str, str]]
     return reasons, found
 
 
-_OWN = StructType([StructField("reasons", ArrayType(StringType())), StructField("found", ArrayType(StructType([StructField("style", StringType()), StructField("name", StringType()), StructField("around", StringType())])))])
+_PART = re.compile(r"\s*[;|\n]\s*|(?<=[.!?…])\s+|(?<=。)")
+_TOKEN = re.compile(r"[^\W\d]+|\d+|[^\w\s]|_")
+_BLANK = re.compile(r"(?<![\w#(])(?:nan|NaN|null|NULL|undefined|\(null\))(?!\w)")
+_EDGE = ("\1", "\2")
+
+
+def _tokens(text: str) -> list[str]:
+    return ["0" if t.isdigit() else t.lower() for t in _TOKEN.findall(text)]
+
+
+def _places(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of delimited names and defaults that do not overlap; the name of a default is empty."""
+    found = sorted(((m.start(), -m.end(), m[1].lower()) for p in _COMPILED.values() for m in p.finditer(text)), key=lambda x: x[:2]) if _DELIMITER.search(text) else []
+    out: list[tuple[int, int, str]] = []
+    for start, end, name in [*found, *((m.start(), -m.end(), "") for m in _BLANK.finditer(text))]:
+        if all(-end <= s or start >= e for s, e, _ in out):
+            out.append((start, -end, name))
+    return sorted(out)
+
+
+def parts_of(text: str) -> list[tuple[int, list[str], list[tuple[int, str]], str]]:
+    """(position, words, (index among the words, name) of delimited names and defaults, text) of each part that is not blank; such a name is the word \\0."""
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).replace("&lt;", "<").replace("&gt;", ">")
+    places = _places(text) if _DELIMITER.search(text) or _BLANK.search(text) else []
+    names = [n for *_, n in places]
+    for start, end, _ in reversed(places):
+        text = f"{text[:start]}\0{text[end:]}"
+    out, used = [], 0
+    for position, part in enumerate(_PART.split(text)):
+        words = _tokens(part)
+        here = [k for k, w in enumerate(words) if w == "\0"]
+        if words:
+            own = names[used : used + len(here)]
+            out.append((position, words, list(zip(here, own, strict=True)), " ".join([*words, *own])))
+        used += len(here)
+    return out
+
+
+def _skeleton(before: list[str], after: list[str]) -> int:
+    return signed(xxhash.xxh64_intdigest(" ".join([*before, "\0\0", *after])))
+
+
+def _edge(before: list[str], after: list[str]) -> int:
+    """What a part of the same skeleton is looked up by: its first and last word outside of the slot."""
+    return signed(xxhash.xxh64_intdigest(f"{before[0] if before else _EDGE[0]} {after[-1] if after else _EDGE[1]}"))
+
+
+def _at(position: int) -> int:
+    return signed(xxhash.xxh64_intdigest(f"#{position}"))
+
+
+def skeletons(text: str | None) -> list[dict]:
+    """The places of a field that may be slots, as (edge, skeleton, part, named)."""
+    out: list[dict] = []
+    for position, words, here, whole in parts_of(text or ""):
+        part = signed(xxhash.xxh64_intdigest(whole))
+        spans = [(k, k + 1, bool(n)) for k, n in here]
+        if len(here) > 1:
+            spans.append((here[0][0], here[-1][0] + 1, any(n for _, n in here)))
+        if words[-1] == ":" and len(words) > 1:
+            spans.append((len(words), len(words), False))
+        for i, j, named in spans:
+            before, after = words[:i], words[j:]
+            if before or after:
+                out.append({"edge": _edge(before, after), "skeleton": _skeleton(before, after), "part": part, "named": named})
+            elif named:
+                out.append({"edge": _at(position), "skeleton": _at(position), "part": part, "named": True})
+    return out
+
+
+_OWN = StructType([StructField("reasons", ArrayType(StringType())), StructField("found", ArrayType(StructType([StructField("style", StringType()), StructField("name", StringType()), StructField("around", StringType())]))),
+                   StructField("places", ArrayType(StructType([StructField("edge", LongType()), StructField("skeleton", LongType()), StructField("part", LongType()), StructField("named", BooleanType())])))])
 
 
 @pandas_udf(_OWN)
 def _judge(texts: pd.Series) -> pd.DataFrame:
     rows = [own_reasons(t) for t in texts]
-    return pd.DataFrame({"reasons": [r for r, _ in rows], "found": [[{"style": s, "name": n, "around": a} for s, n, a in f] for _, f in rows]})
+    places = [skeletons(t) if f or not r and (_BLANK.search(t or "") or ":" in (t or "")) else [] for t, (r, f) in zip(texts, rows, strict=True)]
+    return pd.DataFrame({"reasons": [r for r, _ in rows], "found": [[{"style": s, "name": n, "around": a} for s, n, a in f] for _, f in rows], "places": places})
+
+
+_LOOKED_UP = ArrayType(StructType([StructField("edge", LongType()), StructField("words", StringType()), StructField("part", LongType())]))
+
+
+@pandas_udf(_LOOKED_UP)
+def _edges(texts: pd.Series) -> pd.Series:
+    """Each part under its ends (either of which may be the slot) and under its position, without words where the part itself is the value."""
+    out = []
+    for text in texts:
+        rows = []
+        for position, words, _, whole in parts_of(text or ""):
+            part, line = signed(xxhash.xxh64_intdigest(whole)), " ".join(words)
+            rows += [{"edge": e, "words": line, "part": part} for e in {_edge(words, words), _edge([], words), _edge(words, [])}]
+            rows.append({"edge": _at(position), "words": None if "\0" not in line else "\0", "part": part})
+        out.append(rows)
+    return pd.Series(out)
+
+
+_SPANS = ArrayType(StructType([StructField("skeleton", LongType()), StructField("value", LongType())]))
+
+
+@pandas_udf(_SPANS)
+def _spans(lines: pd.Series) -> pd.Series:
+    """Every skeleton of a part with the value in its slot: up to SLOT_WORDS words, none of them a delimited name or default."""
+    out = []
+    for line in lines:
+        words, rows = line.split(" "), []
+        for i in range(len(words)):
+            for j in range(i + 1, min(i + SLOT_WORDS, len(words)) + 1):
+                if words[j - 1] == "\0":
+                    break
+                if i or j < len(words):
+                    rows.append({"skeleton": _skeleton(words[:i], words[j:]), "value": signed(xxhash.xxh64_intdigest(" ".join(words[i:j])))})
+        out.append(rows)
+    return pd.Series(out)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` written, and broadcast where it is counted to be small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def aligned(long: DataFrame, judged: DataFrame) -> DataFrame:
+    """(ord, field, reason) of the fields with a name, default or nothing in a slot of the template of their source."""
+    places = cut(judged.select("ord", "source", "field", F.explode("places").alias("p")).select("ord", "source", "field", "p.*"))
+    fields = long.join(_small(places.select("source", "field").distinct()), ["source", "field"], "left_semi")
+    # parts that may share a skeleton, or are the frame's
+    edges = _small(places.select("source", "field", "edge").distinct())
+    looked = fields.select("source", "field", F.explode(_edges("text")).alias("e")).select("source", "field", "e.*").join(edges, ["source", "field", "edge"], "left_semi").distinct()
+    looked = cut(looked)
+    values = looked.where("words is null").select("source", "field", F.col("edge").alias("skeleton"), F.col("part").alias("value"))
+    spans = looked.where("words <> '\0'").select("source", "field", "words").distinct().select("source", "field", F.explode(_spans("words")).alias("s")).select("source", "field", "s.*")
+    varied = values.unionByName(spans).join(_small(places.select("source", "field", "skeleton").distinct()), ["source", "field", "skeleton"], "left_semi").distinct()
+    varied = varied.groupBy("source", "field", "skeleton").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).select("source", "field", "skeleton")
+    slots = places.join(varied, ["source", "field", "skeleton"], "left_semi").select("ord", "field")
+    # the frame: parts of half of the different texts, by the source and by the number of separators
+    shape, parts = F.length("text") - F.length(F.translate("text", ";|\n", "")), places.where("named").select("ord", "field", "part").distinct()
+    texts = fields.select("source", "field", shape.alias("shape"), F.xxhash64("text").alias("text")).distinct()
+    by_shape = texts.groupBy("source", "field", "shape").agg(F.count(F.lit(1)).alias("of"))
+    by_source = by_shape.groupBy("source", "field").agg(F.sum("of").alias("of_all"))
+    holders = parts.join(fields.select("ord", "source", "field", shape.alias("shape"), F.xxhash64("text").alias("text")), ["ord", "field"])
+    held = holders.select("source", "field", "shape", "part", "text").distinct().groupBy("source", "field", "shape", "part").agg(F.count(F.lit(1)).alias("n"))
+    every = held.groupBy("source", "field", "part").agg(F.sum("n").alias("n_all")).join(by_source, ["source", "field"])
+    shares = held.join(by_shape, ["source", "field", "shape"]).join(every, ["source", "field", "part"])
+    frame = shares.where((F.col("n") >= FRAME) & (2 * F.col("n") >= F.col("of")) | (F.col("n_all") >= FRAME) & (2 * F.col("n_all") >= F.col("of_all"))).select("source", "field", "shape", "part")
+    framed = holders.join(frame, ["source", "field", "shape", "part"], "left_semi").select("ord", "field")
+    return slots.unionByName(framed).select("ord", "field", F.lit("variable").alias("reason"))
 
 
 def flag(items: DataFrame) -> DataFrame:
     """(ord, title, snippet, company) -> (ord, field, reasons) of each field that is residue or holds some."""
-    long = items.select("ord", F.substring(F.lower("company"), 1, 5).alias("maker"), F.explode(F.create_map(F.lit("title"), "title", F.lit("snippet"), "snippet")).alias("field", "text")).where(F.length(F.trim("text")) > 0)
+    source = F.coalesce("source", F.lit("")) if "source" in items.columns else F.lit("")
+    long = items.select("ord", source.alias("source"), F.substring(F.lower("company"), 1, 5).alias("maker"), F.explode(F.create_map(F.lit("title"), "title", F.lit("snippet"), "snippet")).alias("field", "text")).where(F.length(F.trim("text")) > 0)
     # three readers need the judgement, which few fields have anything in: it is written once, without the others
-    judged = cut(long.withColumn("own", _judge("text")).select("ord", "field", "own.reasons", "own.found").where("size(reasons) > 0 or size(found) > 0"))
+    judged = cut(long.withColumn("own", _judge("text")).select("ord", "source", "field", "own.reasons", "own.found", "own.places").where("size(reasons) > 0 or size(found) > 0 or size(places) > 0"))
     own = judged.where(F.size("reasons") > 0).select("ord", "field", F.explode("reasons").alias("reason"))
     # names that stand in several styles and surroundings are variables
     seen = judged.where(F.size("found") > 0).select("ord", "field", F.explode("found").alias("p")).select("ord", "field", F.lower("p.name").alias("name"), "p.style", F.xxhash64("p.around").alias("around"))
@@ -163,4 +315,4 @@ def flag(items: DataFrame) -> DataFrame:
     shaped = long.where("field = 'snippet'").select("ord", "field", "maker", F.sha2(shape, 256).alias("shape"))
     pages = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("maker").alias("a"), F.max("maker").alias("b"), F.count("maker").alias("m")).where((F.col("n") >= RECURS) & (F.col("a") != F.col("b"))).select("shape")
     repeated = shaped.join(pages, "shape", "left_semi").select("ord", "field", F.lit("repeated_page").alias("reason"))
-    return own.unionByName(slots).unionByName(repeated).groupBy("ord", "field").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    return own.unionByName(slots).unionByName(aligned(long, judged.where("size(reasons) = 0"))).unionByName(repeated).groupBy("ord", "field").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
