@@ -53,5 +53,24 @@ def test_large_bucket_loses_no_pair(spark):
     assert got == {(k, n + k) for k in range(n)} | {(n + 3, 5000)}
 
 
+def test_calibration_counts_large_buckets(spark):
+    n = M.BUCKET + 40
+    rows = [(k, "ab"[k % 2], "Data Engineer", "Acme", "Bern", None, f"https://a/jobs/{10_000_000 + k // 3}") for k in range(n)] + [(n + k, "bc"[k % 2], "Data Enginer", "Acme", "Bern", None, f"https://b/jobs/{10_000_000 + k}") for k in range(20)]
+    heads, _ = M.records(items(spark, rows), places(spark))
+    heads = heads.cache()
+    got = sorted((round(r.score, 6), r.n, r.k) for r in M.counted(M.close_pairs(heads)[1], heads).collect())
+    groups, want = {}, {}
+    for r in heads.collect():
+        groups.setdefault((r.t_low, r.t_high, r.c), []).append((r.source, r.number))
+    for (v, g), (w, h) in [(x, y) for x in groups.items() for y in groups.items() if x[0] <= y[0]]:
+        both = [(p, q) for p in g for q in h if p[0] != q[0]]
+        want[v, w] = (len(both) // (1 + (v == w)), sum(p[1] == q[1] for p, q in both) // (1 + (v == w)))
+    assert sorted(x[1:] for x in got) == sorted(want.values()) and max(x[1] for x in got) > M.BUCKET**2 / 10
+    # look-alikes of which one in a hundred agrees are no evidence for a row without number
+    alike = [(k, "a", "Data Engineer", "Acme", "Bern", None, f"https://a/jobs/{10_000_000 + k}") for k in range(n)] + [(n + k, "b", "Data Engineer", "Acme", "Bern", None, f"https://b/jobs/{10_000_000 + k}") for k in range(n)]
+    found = {(r.ord_a, r.ord_b) for r in M.match(items(spark, [*alike, (5000, "c", "Data Engineer", "Acme", "Bern", None, None)]), places(spark)).collect()}
+    assert found == {(k, n + k) for k in range(n)}
+
+
 def test_empty(spark):
     assert M.match(items(spark, [(1, "a", "t", "c", "p", "j", "u")]).limit(0), places(spark)).count() == 0

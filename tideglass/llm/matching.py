@@ -7,7 +7,8 @@ company vector into COMPANY_BLOCKS, so that two vectors with fewer differing bit
 in one block at least; a table is kept for each pair of blocks within a place. Rows without a known
 place are looked up in tables of whole title vectors and company blocks over all places. Pairs from
 the tables are scored by the field-weighted Dice coefficient, and scores become confidences by the
-monotone share of pairs with agreeing numbers among all pairs that show both numbers. An exact check
+monotone share of pairs with agreeing numbers among all pairs that show both numbers; these are counted
+by vectors, sources and numbers, so that buckets of any size have their part in it. An exact check
 follows: openings that differ in their number or their place are different.
 
 Rows of one source with equal vectors, place and number are one record until the end, so that groups
@@ -178,28 +179,50 @@ def _bucketed(keyed: DataFrame) -> DataFrame:
     return cut(joined.select(*keyed.columns, F.coalesce("big", F.lit(False)).alias("big"), F.when(F.col("big"), F.coalesce("number", F.lit(-1))).otherwise(F.lit(0)).alias("sub")))
 
 
-def _pair(left: DataFrame, right: DataFrame, on: list[str], same_number: bool = True) -> DataFrame:
+def _pair(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     a, b = (d.select(*[F.col(x).alias(f"{p}_{x}") for x in ("key", "sub", "rec", "source", "number")]) for d, p in ((left, "a"), (right, "b")))
-    cond = F.col("a_source") != F.col("b_source")
-    if same_number:
-        cond = cond & (F.col("a_number").isNull() | F.col("b_number").isNull() | (F.col("a_number") == F.col("b_number")))
+    cond = (F.col("a_source") != F.col("b_source")) & (F.col("a_number").isNull() | F.col("b_number").isNull() | (F.col("a_number") == F.col("b_number")))
     for x in on:
         cond = (F.col(f"a_{x}") == F.col(f"b_{x}")) & cond
     return a.join(b, cond).select(F.least("a_rec", "b_rec").alias("a"), F.greatest("a_rec", "b_rec").alias("b"))
 
 
 def close_pairs(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of records from different sources that share a bucket and whose numbers do not differ; a sample of pairs for calibration)."""
+    """((a, b) of records from different sources that share a bucket and whose numbers do not differ; (a, b) of vectors that share a bucket of the sampled keys, for calibration)."""
     vectors = ("t_low", "t_high", "c", "place")
-    keyed = _bucketed(heads.where("place > 0").select(F.explode(_keys_udf(False)(*vectors)).alias("key"), "rec", "source", "number"))
+    keyed = _bucketed(heads.where("place > 0").select(F.explode(_keys_udf(False)(*vectors)).alias("key"), "rec", "source", "number", _vec().alias("vec")))
     found = _pair(keyed, keyed, ["key", "sub"]).unionByName(_pair(keyed.where("big and number is null"), keyed.where("big and number is not null"), ["key"]))
     wide = _bucketed(heads.select(F.explode(_keys_udf(True)(*vectors)).alias("key"), "rec", "source", "number", "place"))
     lost = wide.where("place = 0")
     found = found.unionByName(_pair(lost, wide, ["key", "sub"])).unionByName(_pair(lost.where("big and number is null"), wide.where("big and number is not null"), ["key"]))
     found = found.unionByName(_pair(lost.where("big and number is not null"), wide.where("big and number is null"), ["key"]))
     every = max(1, -(-keyed.count() // CALIBRATION_KEYS))
-    some = keyed.where((F.pmod(F.xxhash64("key"), F.lit(every)) == 0) & ~F.col("big") & F.col("number").isNotNull())
-    return found.distinct(), _pair(some, some, ["key", "sub"], same_number=False).distinct()
+    some = keyed.where((F.pmod(F.xxhash64("key"), F.lit(every)) == 0) & F.col("number").isNotNull()).select("key", "vec").distinct()
+    sample = some.withColumnRenamed("vec", "a").join(some.withColumnRenamed("vec", "b"), "key").where("a <= b").select("a", "b").distinct()
+    return found.distinct(), sample
+
+
+def _vec():
+    return F.xxhash64("t_low", "t_high", "c", "place")
+
+
+def counted(sample: DataFrame, heads: DataFrame) -> DataFrame:
+    """(score, n, k) of each pair of vectors: the pairs of records of different sources that show both numbers, and those of them with equal numbers.
+
+    Neither expands the pairs of records with different numbers: n comes from the counts of each source, k from the numbers that occur twice.
+    """
+    numbered = heads.where("place > 0 and number is not null").withColumn("vec", _vec())
+    by_source = numbered.groupBy("vec", "source").agg(F.count(F.lit(1)).alias("n"))
+    totals = by_source.groupBy("vec").agg(F.sum("n").alias("n"))
+    of = lambda d, p: d.select(*[F.col(x).alias(p if x == "vec" else f"{p}_{x}") for x in d.columns])
+    within = sample.join(of(by_source, "a"), "a").join(of(by_source, "b").withColumnRenamed("b_source", "a_source"), ["b", "a_source"]).groupBy("a", "b").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("within"))
+    x, y = (numbered.select("place", "number", F.col("source").alias(f"{p}_source"), F.col("vec").alias(p)) for p in ("x", "y"))
+    equal = x.join(y, ["place", "number"]).where("x_source < y_source").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    every = F.col("a_n") * F.col("b_n") - F.coalesce("within", F.lit(0))
+    pairs = sample.join(of(totals, "a"), "a").join(of(totals, "b"), "b").join(within, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), every / 2).otherwise(every).cast("long").alias("n")).where("n > 0")
+    vectors = numbered.select(F.col("vec").alias("rec"), "t_low", "t_high", "c", "place", F.lit(None).cast("long").alias("number")).distinct()
+    rated = scored(pairs.select("a", "b"), vectors).where("same_place").select("a", "b", "score")
+    return rated.join(pairs, ["a", "b"]).join(equal, ["a", "b"], "left").select("score", "n", F.coalesce("k", F.lit(0)).alias("k"))
 
 
 def scored(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -222,7 +245,7 @@ def _bin(score):
 
 def calibration(sample: DataFrame) -> list[float]:
     """The confidence of each score bin: the share of pairs with agreeing numbers, made monotone (pool adjacent violators)."""
-    rows = sample.where("same_number is not null and same_place").groupBy(_bin(F.col("score")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same_number").cast("long")).alias("k")).collect()
+    rows = sample.groupBy(_bin(F.col("score")).alias("bin")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
     counts = {r.bin: (r.n, r.k) for r in rows}
     pools: list[list[float]] = []
     for i in range(BINS):
@@ -238,7 +261,7 @@ def match(items: DataFrame, places: DataFrame) -> DataFrame:
     """(ord_a, ord_b, score, confidence, same_number, same_place) of each pair of rows of the same opening."""
     heads, membership = records(items, places)
     pairs, sample = close_pairs(heads)
-    table = F.array(*[F.lit(x) for x in calibration(scored(sample, heads))])
+    table = F.array(*[F.lit(x) for x in calibration(counted(sample, heads))])
     confidence = F.element_at(table, _bin(F.col("score")) + 1)
     both = scored(pairs, heads).where(F.coalesce("same_number", F.lit(True)) & (F.col("score") >= THRESHOLD))
     rated = both.withColumn("confidence", F.when(F.col("same_number"), 1 - (1 - confidence) * (1 - F.col("score"))).otherwise(confidence))
