@@ -126,8 +126,15 @@ def test_markdown_tables(spark):
     got = rows.orderBy("line").collect()
     assert [r.cells[3] for r in got] == ["A | B", "C"]
     assert sorted((r.note, r.rule) for r in broken.collect()) == [("empty", "one section heading required"), ("n", "unsupported row"), ("none", "one section heading required")]
-    tasks = markdown.task_entries(notes, "## Queue").orderBy("line").collect()
-    assert [(t.done, t.priority, t.company, t.role, t.ids, t.urls) for t in tasks] == [(False, "#p0", "Acme", "Role one", ["Q-8", "R-7"], ["https://x.example/a_(b)"]), (True, "#p1", "Done", "Role", [], [])]
+    found, odd = markdown.task_entries(notes, "## Queue")
+    tasks = found.orderBy("line").collect()
+    assert sorted(r.note for r in odd.collect()) == ["empty", "none"]
+    assert [(t.done, t.priority, t.company, t.role, t.ids, t.urls) for t in tasks] == [(False, "#p0", "Acme", "Role one", ["Q-8", "R-7"], ["https://x.example/a_(b)"]), (True, "#p1", "", "", [], [])]
+    assert [t.supported for t in tasks] == [True, False]
+    old = spark.createDataFrame([("n", "## Queue\n- [x] #p1 **Old role** · Old Co · Job ID R-9\n\n  - 链接：[a](https://x.example/1)\n\nText\n  - no child\n## End\n- [ ] #p0 **A｜B**"), ("two", "## Queue\n## Queue")], "note string, text string")
+    found, odd = markdown.task_entries(old, "## Queue")
+    assert [(t.line, t.done, t.company, t.role, t.ids, t.urls, t.supported, t.block.count("\n")) for t in found.collect()] == [(2, True, "Old Co", "Old role", ["R-9"], ["https://x.example/1"], False, 2)]
+    assert [r.note for r in odd.collect()] == ["two"]
     d = markdown.dispositions(markdown.lines(notes)).collect()
     assert [(r.date, r.evaluated, r.queued) for r in d] == [("2030-01-07", 4, 1)]
     deadline = spark.createDataFrame([(tasks[0].block,)], "b string").select(markdown.recorded_date(F.col("b"), "deadline").alias("d")).collect()[0].d

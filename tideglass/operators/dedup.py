@@ -15,8 +15,13 @@ from tideglass.plans.tables import cut
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys are one key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in the given order; null keys are one key.
+
+    A partial aggregate: each task keeps one row of a key, so a key of any size costs one row a task. Nulls
+    of the order come first; ``order`` holds plain ascending expressions (negate a number to turn it round).
+    """
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])).alias("_first"))
+    return first.select("_first.*")
 
 
 def ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:

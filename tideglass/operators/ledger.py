@@ -9,6 +9,9 @@ from tideglass.functions import text as T
 from tideglass.functions import urls as U
 from tideglass.plans.tables import bounded_rows
 
+# Terms of the two kinds of employment that hold beside a ledger's own labels.
+INTERNSHIP_TERMS = r"实习|\bintern(?:ship)?\b|byteintern"
+FULL_TIME_TERMS = r"全职|full[ -]?time|\bpermanent\b|\bgraduate\b|校招|校园招聘"
 MAX_REGIONS = 1_000
 
 
@@ -51,7 +54,7 @@ def classify(rows: DataFrame, text: str, aliases: DataFrame, internship: list[st
     before = F.regexp_extract(form, r"^([^（(]*)", 1)
     region_before = F.array_compact(F.array(*[F.when(_labels(before, r.names), F.lit(r.region)) for r in names]))
     regions = F.when((F.size(region_hits) > 1) & (before != form), region_before).otherwise(region_hits)
-    intern, full = _labels(form, internship) | form.rlike(r"实习|\bintern(?:ship)?\b"), _labels(form, full_time) | form.rlike(r"全职|full[ -]?time|\bpermanent\b|\bgraduate\b|校招")
+    intern, full = _labels(form, internship) | form.rlike(INTERNSHIP_TERMS), _labels(form, full_time) | form.rlike(FULL_TIME_TERMS)
     clear = (intern != full) & (F.size(regions) == 1)
     out = rows.withColumn("_r", regions)
     return out.withColumn("region", F.when(clear, F.element_at("_r", 1))).withColumn("employment", F.when(clear, F.when(intern, "internship").otherwise("full_time"))).withColumn("issue", F.when(~clear, "unclassified or conflicting category")).drop("_r")
@@ -76,7 +79,7 @@ def identity_matches(events: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
     r = rows.select("row_id", "company", "role", "ids", "urls").withColumn("owner", T.ledger_form(F.col("company")))
     known = F.array_union(F.coalesce("ids", F.array().cast("array<string>")), F.coalesce(T.title_ids(F.col("role")), F.array().cast("array<string>")))
     row_ids = r.select("row_id", "owner", F.explode(known).alias("id"))
-    link_ids = r.select("row_id", "owner", F.explode("urls").alias("u")).select("row_id", "owner", F.explode(_address_ids(F.col("u"))).alias("id"))
+    link_ids = r.select("row_id", "owner", F.explode("urls").alias("u")).select("row_id", "owner", F.explode(U.address_ids(F.col("u"))).alias("id"))
     event_ids = e.select("event_id", "owner", F.explode("ids").alias("id"))
     by_id = event_ids.join(row_ids.unionByName(link_ids).distinct(), ["owner", "id"]).select("event_id", "row_id", F.lit("id").alias("by")).distinct()
     e_url = e.select("event_id", "owner", T.ledger_form(F.col("role")).alias("r"), "ids", F.explode("urls").alias("u")).withColumn("u", U.ledger_form(F.col("u")))
@@ -89,16 +92,6 @@ def identity_matches(events: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
     return matches, several.unionByName(fresh.where(conflict).select("event_id", F.lit("explicit ids conflict").alias("rule")).distinct())
 
 
-def _address_ids(url: Column) -> Column:
-    """All texts that an address can name as an id: its parts, what stands behind underscores and before hyphens, id keys."""
-    tail = F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    parts = F.filter(F.concat(F.split(tail, "/"), F.split(F.regexp_extract(url, "#(.*)$", 1), "/")), lambda p: p != "")
-    behind = F.filter(F.transform(parts, lambda p: F.regexp_extract(p, "_([^_]+)$", 1)), lambda p: p != "")
-    before = F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"^(\d+)-", 1)), lambda p: p != "")
-    keyed = F.regexp_extract_all(url, F.lit(r"(?i)[?&](?:job_?id|jobAdId|id|positionId|positionIntentionId|advertisementId|req(?:uisition)?_?id|gh_jid|jobCode)=([^&#]+)"), F.lit(1))
-    return F.array_distinct(F.concat(parts, behind, before, keyed))
-
-
 def funnel(entries: DataFrame, as_of: Column) -> DataFrame:
     """One row of counts over (priority, queued_on, deadline): totals, last seven days, stale, urgent, expired, unknown."""
     left = F.datediff("deadline", as_of)

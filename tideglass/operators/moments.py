@@ -9,7 +9,7 @@ a value whose two readings differ while neither posterior reaches ``RESOLVED`` i
 
 The mixture is hierarchical: notation x declared order of the source, pooled over all sources, is
 the prior of notation x source. Counts come from all rows; only their aggregate (one row for each
-source and notation) takes part in the iteration, which runs inside Spark as a fold.
+source and notation) takes part in the iteration, whose fixed point is taken in closed form.
 
 Defined cases: null, blank and non-time text have no reading and no row in ``resolve``; impossible
 dates (2025-02-30, 31/31/2025) neither; repeated rows are kept; an unknown source counts as UTC
@@ -33,7 +33,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 RESOLVED = 0.95
 PRIOR_STRENGTH = 4.0
-ROUNDS = 30
 
 # Month names (English, German, French, Spanish, Portuguese), first three letters without marks where that is unique.
 MONTHS = {
@@ -195,10 +194,14 @@ def readings(value: pd.Series, zone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"family": [r[0] for r in rows], "first_us": pd.array([r[1] for r in rows], dtype="Int64"), "second_us": pd.array([r[2] for r in rows], dtype="Int64")})
 
 
-def mixture(only_first: Column, only_second: Column, either: Column, prior: Column, strength: float, rounds: int = ROUNDS) -> Column:
-    """The share of day-first values by expectation-maximisation: ``either`` values are shared by the current estimate."""
-    total = only_first + only_second + either + F.lit(strength)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), prior.cast("double"), lambda p, _: (only_first + either * p + prior * F.lit(strength)) / total)
+def mixture(only_first: Column, only_second: Column, either: Column, prior: Column, strength: float) -> Column:
+    """The share of day-first values where expectation-maximisation comes to rest.
+
+    A round gives ``(only_first + either * p + prior * strength) / (only_first + only_second + either + strength)``;
+    its only fixed point is the value below, whatever the number of ambiguous values.
+    """
+    del either  # values with both readings share themselves out in the proportion of the others
+    return (only_first + prior * F.lit(strength)) / (only_first + only_second + F.lit(strength))
 
 
 def read_all(values: DataFrame, sources: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tideglass.plans.tables import cut
 
-MOST_ALIAS_STEPS = 32
 _PATH = r"^[^\s.\[\]]+(?:\[(?:\d+|\*)\])*(?:\.[^\s.\[\]]+(?:\[(?:\d+|\*)\])*)*$"
 
 
@@ -47,11 +46,11 @@ def canonical(refs: DataFrame, ref: str, aliases: DataFrame) -> DataFrame:
 
     The longest alias that is a prefix of the path is replaced by its target; numbers that met a wildcard
     take the place of the target's wildcards. Repeated until nothing changes; a path that comes back, or
-    that takes over MOST_ALIAS_STEPS steps, is a circle.
+    that takes more steps than there are aliases (so that one is met twice), is a circle.
     """
     state = cut(refs.select(F.col(ref).alias("start")).distinct().withColumns({"path": F.col("start"), "circle": F.lit(False), "open": F.lit(True), "seen": F.array("start")}))
-    done = None
-    for _ in range(MOST_ALIAS_STEPS):
+    done, most = None, aliases.count() + 1
+    for _ in range(most):
         found = longest_prefix(state, "path", aliases, "alias").join(aliases.select(F.col("alias").alias("entry"), "target"), "entry", "left")
         t, e = tokens(F.col("path")), tokens(F.col("entry"))
         caught = F.filter(F.transform(F.arrays_zip(F.slice(t, 1, F.size(e)).alias("p"), e.alias("e")), lambda x: F.when(x["e"] == "*", x["p"])), lambda x: x.isNotNull())
