@@ -39,3 +39,26 @@ def test_aligned_slots(spark):
     df = spark.createDataFrame([(o, None, t, "Acme", s) for o, s, t in rows], "ord long, title string, snippet string, company string, source string")
     got = {r.ord: r.reasons for r in R.flag(df).collect()}
     assert set(got) == {*range(8), *range(100, 108), 203, 206, 400} and set(map(tuple, got.values())) == {("variable",)}
+
+
+@pytest.mark.parametrize("text", ["Access denied. " * 40, "Access denied " * 60, "You must enable JavaScript in the settings of your browser " + "and of every other browser that you use for reading this listing " * 3, "HTTP 400 - HTTP 401 - Unauthorized Page not found", "Please try again. Bad Gateway " * 30])
+def test_long_notices(text):
+    assert R.own_reasons(text)[0] == ["notice"]
+
+
+def test_long_texts_are_judged_quickly():
+    assert not R.is_notice("You need to know JavaScript; " + "and more " * 20_000) and not R.is_notice("HTTP 400 - " * 3_000 + "x; y " * 30)
+
+
+def test_pages_off_the_template(spark):
+    towns = ["Bern", "Oslo", "Rome", "Lima", "Kyiv", "Bonn", "Graz", "Nice", "Cork", "Faro", "Gent", "Linz"]
+    rows = [(k, "Analyst", f"Northern Foods {w}; {w}; Good pay. Come soon.", "Northern Foods", w, "one") for k, w in enumerate(towns * 5)]
+    rows += [(500 + k, "Analyst", "Our kettle is not here just now. Come later", c, "Bern", "one") for k, c in enumerate(["Northern Foods", "Northern Analytics", None])]  # one beginning, two companies
+    rows += [(600, "Kettle is not here", "Northern Foods; Bern; Good pay.", "Northern Foods", "Bern", "one"), (601, "Chef", "Northern Foods; Bern; Good pay. Our kettle is not here just now.", "Northern Foods", "Bern", "one")]
+    rows += [(700 + k, "Cook", "No values at all here", "Acme", "Bern", "two") for k in range(3)] + [(710, "Cook", None, None, None, None), (711, None, "", "", "", "")]
+    df = spark.createDataFrame(rows, "ord long, title string, snippet string, company string, location string, source string").withColumn("n_values", R.F.lit(1))
+    got = {(r.ord, r.field): r.reasons for r in R.flag(df, lists=False).collect()}
+    assert set(got) == {*((500 + k, "snippet") for k in range(3)), (600, "title"), (601, "snippet")}
+    assert got[500, "snippet"] == ["other_page", "repeated_page"] and got[600, "title"] == ["page_text"]
+    known = {r.source: r.is_template for r in R.templates(df)[0].collect()}
+    assert known["one"] and not known["two"]

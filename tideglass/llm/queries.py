@@ -58,6 +58,16 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flag(table(spark, sf_dir, "job_item"))
 
 
+def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the snippets of each source follow its template, as induced from the values of their records."""
+    return residue.templates(table(spark, sf_dir, "job_item"))[0]
+
+
+def p6_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields found by alignment and counts alone, without any list of phrases."""
+    return residue.flag(table(spark, sf_dir, "job_item"), lists=False)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -76,5 +86,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p5_found, p5_confidence, p6_found, p6_reasons, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p5_found, p5_confidence, p6_found, p6_reasons, p6_templates, p6_induced, p7_ids, p8_mix, p8_shares, p9_found)}
 ORACLE_SQL: dict[str, str] = {}

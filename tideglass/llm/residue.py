@@ -12,9 +12,14 @@ by surroundings: a variable name that templates left behind stands in several st
 (it fills slots), a literal that a sentence is about always stands in the same one. Names of the schema
 (title, company, location ...) count as variables where alignment and counts cannot decide. Fields with
 defaults or blanks of a serialiser (nan, null, [object Object]) for values and filler phrases are flagged
-as well. Whole fields without any slot of their own record
-that recur over several companies are repeated page templates; fields that consist of nothing but
-error or script notices are flagged also where they occur once. An empty part between two semicolons
+as well. Whole pages are found against the template of their source: where TEMPLATE of a source's snippets hold
+a value of their own record (company, place, kind of employment), those are the template's slots, and a
+snippet that holds none of them is another page. What such pages say is looked for elsewhere: a title
+that stands in one as a run of words, a part of another snippet that does (and not more often there than
+in pages), and four words in a row that mostly stand in pages (dummy text in any order). Snippets of one
+shape that recur over several companies and hold no slot are repeated pages. Beside that, lists of
+usual fillers, error messages and script notices find fields that occur once (``lists=False`` leaves
+them out). An empty part between two semicolons
 is a blank value and no residue; a null source is a source of its own.
 
 Defined cases: null and blank fields are no residue; a field that merely talks about such things is
@@ -39,6 +44,8 @@ from tideglass.plans.tables import cut
 RECURS = 3
 # The different texts that must share a part of a template's frame, the words a slot's value may have, and the table size up to which a join is a broadcast.
 FRAME, SLOT_WORDS, SMALL = 6, 6, 100_000
+# The share of a source's snippets that must hold values of their records, and the words of a run by which pages are looked up.
+TEMPLATE, RUN = 0.9, 12
 
 _ID = r"[A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)*"
 # The delimiters of common template languages.
@@ -70,12 +77,17 @@ ERRORS = re.compile(
     r"|are you a robot\??|checking your browser before access…?|the server took too long to respond|typeerror: .{3,60}|syntaxerror: .{3,60}|unexpected token .{1,40}|sqlstate: .{3,40}|page introuvable|accès refusé|página no encontrada)"
 )
 TAILS = re.compile(r"(?i)(?:(?:please )?try again(?: later)?|return to the home ?page|then reload|and reload|reload|complete the check to continue|reference: ?[0-9a-f]+|please wait|loading…?|.{0,12}\bif nothing happens, switch on scripts)")
-SCRIPTS = re.compile(
-    rf"(?i)(?=.{{0,140}}$)(?:.*\b(?:enable|enabled|turn on|switch on|activate|allow|allowed|need|requires?)\b.*\b{_SCRIPT}\b.*|.*\b{_SCRIPT}\b.*\b(?:must|enabled|disabled|allowed|to run|required|switched off|turned off)\b.*|.*does not support {_SCRIPT}.*"
-    r"|no-script mode.*|bitte aktivieren sie javascript|veuillez activer javascript|请启用 ?javascript.*|javascriptを有効に.*|active javascript.*|to use the careers site.*)"
+# A demand for scripts: one of the words before and the scripts behind it, or the other way round, or a beginning.
+DEMANDS = (
+    (re.compile(r"(?i)\b(?:enable|enabled|turn on|switch on|activate|allow|allowed|need|requires?)\b"), re.compile(rf"(?i)\b{_SCRIPT}\b")),
+    (re.compile(rf"(?i)\b{_SCRIPT}\b"), re.compile(r"(?i)\b(?:must|enabled|disabled|allowed|to run|required|switched off|turned off)\b")),
+    (re.compile(rf"(?i)does not support {_SCRIPT}"), re.compile("")),
 )
+SCRIPTS = re.compile(r"(?i)(?:no-script mode|bitte aktivieren sie javascript$|veuillez activer javascript$|请启用 ?javascript|javascriptを有効に|active javascript|to use the careers site)")
 _PLAIN_SCRIPTS = r"(?:scripts must be allowed for this page|please enable javascript to view this (?:job|page)|this site requires scripts to run|your browser does not support scripts|javascript is disabled in your browser|no-script mode: content can['’]t be shown|this app works best with javascript enabled|you need to turn on javascript to continue|bitte aktivieren sie javascript|veuillez activer javascript|请启用 ?javascript ?后重试)"
-NOTICES = re.compile(rf"(?i)(?:(?:{ERRORS.pattern[4:]}|{_PLAIN_SCRIPTS}|{TAILS.pattern[4:]})[\s.!。…]*)+")
+NOTICE = re.compile(rf"(?i)(?:{ERRORS.pattern[4:]}|{_PLAIN_SCRIPTS}|{TAILS.pattern[4:]})[\s.!。…]*")
+LONGEST = 120  # letters of the longest single message that NOTICE describes
+_BORDER = re.compile(r"\b|(?<=[\s.!。…])|$")
 _SENTENCE = re.compile(r"(?<=[.!?…。])\s+|\n+|(?<=[.!?…])(?=[A-Z])")
 
 
@@ -83,16 +95,44 @@ def _clean(part: str) -> str:
     return part.strip().rstrip(".!。 ").strip()
 
 
+def is_script_demand(part: str) -> bool:
+    return bool(SCRIPTS.match(part)) or any((m := first.search(part)) is not None and then.search(part, m.end()) is not None for first, then in DEMANDS)
+
+
+def all_notices(text: str) -> bool:
+    """Whether a text is a row of messages: the places a message can end at are followed from the beginning."""
+    if not NOTICE.match(text):
+        return False
+    borders = [m.start() for m in _BORDER.finditer(text)]
+    reached, at = {0}, 0
+    for at, start in enumerate(borders):
+        if start in reached:
+            for end in borders[at + 1 :]:
+                if end - start > LONGEST:
+                    break
+                if end not in reached and NOTICE.fullmatch(text, start, end):
+                    reached.add(end)
+    return len(text) in reached
+
+
 def is_notice(text: str) -> bool:
     """Whether a field consists of error and script notices alone."""
     whole = _clean(text)
-    if not whole or len(whole) > 400:
+    if not whole:
         return False
-    if NOTICES.fullmatch(whole) and not TAILS.fullmatch(whole):
+    if all_notices(whole) and not TAILS.fullmatch(whole):
         return True
-    parts = [p for p in (_clean(p) for p in _SENTENCE.split(whole)) if p]
-    hits = [bool(NOTICES.fullmatch(p)) and not TAILS.fullmatch(p) or ";" not in p and len(p.split()) >= 3 and bool(SCRIPTS.fullmatch(p)) for p in parts]
-    return any(hits) and all(h or TAILS.fullmatch(p) for h, p in zip(hits, parts, strict=True))
+    hits, tails = False, 0
+    for part in _SENTENCE.split(whole):
+        p = _clean(part)
+        if not p:
+            continue
+        tail = bool(TAILS.fullmatch(p))
+        hit = not tail and all_notices(p) or ";" not in p and len(p.split()) >= 3 and is_script_demand(p)
+        if not hit and not tail:
+            return False
+        hits, tails = hits or hit, tails + tail
+    return hits
 
 
 def is_lorem(text: str) -> bool:
@@ -221,9 +261,17 @@ _OWN = StructType([StructField("reasons", ArrayType(StringType())), StructField(
                    StructField("places", ArrayType(StructType([StructField("edge", LongType()), StructField("skeleton", LongType()), StructField("part", LongType()), StructField("named", BooleanType())])))])
 
 
-@pandas_udf(_OWN)
 def _judge(texts: pd.Series) -> pd.DataFrame:
     rows = [own_reasons(t) for t in texts]
+    return _judged(texts, rows)
+
+
+def _judge_names(texts: pd.Series) -> pd.DataFrame:
+    """Without lists: only the names within delimiters are taken down."""
+    return _judged(texts, [([], placeholders(t if t.isascii() else unicodedata.normalize("NFKC", t)) if t else []) for t in texts])
+
+
+def _judged(texts: pd.Series, rows: list) -> pd.DataFrame:
     places = [skeletons(t) if f or not r and (_BLANK.search(t or "") or ":" in (t or "")) else [] for t, (r, f) in zip(texts, rows, strict=True)]
     return pd.DataFrame({"reasons": [r for r, _ in rows], "found": [[{"style": s, "name": n, "around": a} for s, n, a in f] for _, f in rows], "places": places})
 
@@ -297,12 +345,80 @@ def aligned(long: DataFrame, judged: DataFrame) -> DataFrame:
     return slots.unionByName(framed).select("ord", "field", F.lit("variable").alias("reason"))
 
 
-def flag(items: DataFrame) -> DataFrame:
-    """(ord, title, snippet, company) -> (ord, field, reasons) of each field that is residue or holds some."""
+SLOT_VALUES = ("company", "location", "employment_type")
+
+
+def _words(text):
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+
+
+def _shape(text):
+    """Words of a text, numbers (hexadecimal ones too) as 0."""
+    return _words(F.regexp_replace(text, r"(?iU)(?<!\w)[0-9a-f]*\d[0-9a-f]*(?!\w)", "0"))
+
+
+def templates(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((source, n_records, n_filled, is_template) of each source, (ord, source, company, snippet, filled, n_values) of each snippet).
+
+    A snippet is filled if it holds a value of its own record: the value's first word, or half of its words.
+    """
+    values = [c for c in SLOT_VALUES if c in items.columns]
+    here = _words(F.col("snippet"))
+
+    def held(name: str):
+        own = _words(F.coalesce(F.col(name), F.lit("")))
+        return F.coalesce((F.size(own) > 0) & (F.array_contains("_here", F.get(own, F.lit(0))) | (2 * F.size(F.filter(own, lambda w: F.array_contains("_here", w))) >= F.size(own))), F.lit(False))
+
+    rows = items.where(F.length(F.trim("snippet")) > 0).withColumn("_here", here)
+    given = sum(((F.size(_words(F.coalesce(F.col(c), F.lit("")))) > 0).cast("int") for c in values), F.lit(0))
+    filled = F.lit(False)
+    for c in values:
+        filled = filled | held(c)
+    source = F.coalesce("source", F.lit("")) if "source" in items.columns else F.lit("")
+    rows = rows.select("ord", source.alias("source"), F.coalesce(F.lower(F.trim("company")), F.lit("")).alias("maker"), "snippet", filled.alias("filled"), given.alias("n_values"))
+    by_source = rows.where("n_values > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("filled").alias("n_filled"))
+    return by_source.withColumn("is_template", (F.col("n_records") >= FRAME) & (F.col("n_filled") >= TEMPLATE * F.col("n_records"))), rows
+
+
+def other_pages(items: DataFrame, long: DataFrame) -> DataFrame:
+    """(ord, field, reason) of snippets off their source's template, and of fields that say what such pages say."""
+    by_source, rows = templates(items)
+    off = cut(rows.where("n_values > 0 and not filled").join(by_source.where("is_template").select("source"), "source", "left_semi").select("ord", "maker", _shape(F.col("snippet")).alias("w")))
+    pages = off.select("ord", F.lit("snippet").alias("field"), F.lit("other_page").alias("reason"))
+    # runs of up to RUN words of those pages, and the whole pages
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(i, F.least(F.size("w"), i + RUN - 1)), lambda j: F.array_join(F.slice("w", i, j - i + 1), " "))))
+    said = off.where(F.size("w") > 0).distinct().select("ord", F.explode(F.array_distinct(F.array_append(runs, F.array_join("w", " ")))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n_off"))
+    said = _small(said)
+    elsewhere = long.join(off.select("ord", F.lit("snippet").alias("field")).distinct(), ["ord", "field"], "left_anti")
+    titles = elsewhere.where("field = 'title'").select("ord", "field", F.array_join(_shape(F.col("text")), " ").alias("run")).where("run <> ''").join(said, "run", "left_semi")
+    parts = elsewhere.where("field = 'snippet'").select("ord", "field", F.explode(F.split("text", _PART.pattern)).alias("part")).select("ord", "field", F.array_join(_shape(F.col("part")), " ").alias("run")).where("run <> ''").join(said, "run", "left_semi").distinct()
+    parts = cut(parts)
+    held = parts.groupBy("run").agg(F.count(F.lit(1)).alias("n_on")).join(said, "run").where("n_off >= n_on").select("run")
+    # words that mostly stand in such pages, four in a row
+    mine = _small(off.distinct().select("ord", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_off")).where(F.col("n_off") >= RECURS))
+    standing = cut(elsewhere.select("ord", "field", F.posexplode(_shape(F.col("text"))).alias("at", "word")).join(mine.select("word"), "word", "left_semi"))
+    on = standing.select("ord", "field", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_on"))
+    common = mine.join(on, "word", "left").where(F.col("n_off") >= F.coalesce("n_on", F.lit(0))).select("word")
+    spots = standing.join(common, "word", "left_semi").groupBy("ord", "field").agg(F.array_sort(F.collect_set("at")).alias("spots")).where(F.size("spots") > 3)
+    rows_of = spots.where(F.exists(F.sequence(F.lit(0), F.size("spots") - 4), lambda i: F.get("spots", i + 3) == F.get("spots", i) + 3)).select("ord", "field")
+    telling = titles.select("ord", "field").unionByName(parts.join(held, "run", "left_semi").select("ord", "field")).unionByName(rows_of)
+    # snippets of one shape over several companies that hold no value of their record
+    shaped = rows.where("not filled").select("ord", "maker", F.xxhash64(F.array_join(_shape(F.col("snippet")), " ")).alias("shape"))
+    again = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("maker").alias("a"), F.max("maker").alias("b")).where((F.col("n") >= RECURS) & (F.col("a") != F.col("b"))).select("shape")
+    repeated = shaped.join(again, "shape", "left_semi").select("ord", F.lit("snippet").alias("field"), F.lit("repeated_page").alias("reason"))
+    return pages.unionByName(telling.select("ord", "field", F.lit("page_text").alias("reason"))).unionByName(repeated)
+
+
+def flag(items: DataFrame, lists: bool = True) -> DataFrame:
+    """(ord, title, snippet, company, ...) -> (ord, field, reasons) of each field that is residue or holds some.
+
+    ``lists=False`` judges by alignment and counts alone.
+    """
     source = F.coalesce("source", F.lit("")) if "source" in items.columns else F.lit("")
-    long = items.select("ord", source.alias("source"), F.substring(F.lower("company"), 1, 5).alias("maker"), F.explode(F.create_map(F.lit("title"), "title", F.lit("snippet"), "snippet")).alias("field", "text")).where(F.length(F.trim("text")) > 0)
+    long = items.select("ord", source.alias("source"), F.explode(F.create_map(F.lit("title"), "title", F.lit("snippet"), "snippet")).alias("field", "text")).where(F.length(F.trim("text")) > 0)
     # three readers need the judgement, which few fields have anything in: it is written once, without the others
-    judged = cut(long.withColumn("own", _judge("text")).select("ord", "source", "field", "own.reasons", "own.found", "own.places").where("size(reasons) > 0 or size(found) > 0 or size(places) > 0"))
+    judge = pandas_udf(_judge if lists else _judge_names, _OWN)
+    judged = cut(long.withColumn("own", judge("text")).select("ord", "source", "field", "own.reasons", "own.found", "own.places").where("size(reasons) > 0 or size(found) > 0 or size(places) > 0"))
     own = judged.where(F.size("reasons") > 0).select("ord", "field", F.explode("reasons").alias("reason"))
     # names that stand in several styles and surroundings are variables
     seen = judged.where(F.size("found") > 0).select("ord", "field", F.explode("found").alias("p")).select("ord", "field", F.lower("p.name").alias("name"), "p.style", F.xxhash64("p.around").alias("around"))
@@ -310,9 +426,5 @@ def flag(items: DataFrame) -> DataFrame:
     styles = kinds.groupBy("name", "style").agg(F.count(F.lit(1)).alias("places")).groupBy("name").agg(F.count(F.lit(1)).alias("n_styles"), F.sum("places").alias("n_places"))
     variables = styles.where((F.col("n_styles") >= RECURS) & (F.col("n_places") >= 2 * RECURS)).select("name")
     slots = seen.where(F.length("name") > 0).join(variables, "name", "left_semi").select("ord", "field", F.lit("variable").alias("reason"))
-    # whole snippets that recur over several companies hold no slot of their record
-    shape = F.regexp_replace(F.regexp_replace(F.lower(F.trim("text")), r"[0-9a-f]*\d[0-9a-f]*", "0"), r"\s+", " ")
-    shaped = long.where("field = 'snippet'").select("ord", "field", "maker", F.sha2(shape, 256).alias("shape"))
-    pages = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("maker").alias("a"), F.max("maker").alias("b"), F.count("maker").alias("m")).where((F.col("n") >= RECURS) & (F.col("a") != F.col("b"))).select("shape")
-    repeated = shaped.join(pages, "shape", "left_semi").select("ord", "field", F.lit("repeated_page").alias("reason"))
-    return own.unionByName(slots).unionByName(aligned(long, judged.where("size(reasons) = 0"))).unionByName(repeated).groupBy("ord", "field").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    found = own.unionByName(slots).unionByName(aligned(long, judged.where("size(reasons) = 0"))).unionByName(other_pages(items, long))
+    return found.groupBy("ord", "field").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
