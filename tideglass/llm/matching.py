@@ -5,18 +5,21 @@ matter, decoration is taken off first); the place is mapped to the list of place
 found exactly by multi-index Hamming hashing: the title vector is cut into TITLE_BLOCKS blocks and the
 company vector into COMPANY_BLOCKS, so that two vectors with fewer differing bits than blocks agree
 in one block at least; a table is kept for each pair of blocks within a place. Rows without a known
-place are looked up in tables of whole title vectors and company blocks over all places. Pairs from
-the tables are scored by the field-weighted Dice coefficient, and scores become confidences by the
-monotone share of pairs with agreeing numbers among all pairs that show both numbers; these are counted
-by vectors, sources and numbers, so that buckets of any size have their part in it. An exact check
-follows: openings that differ in their number or their place are different.
-
-Rows of one source with equal vectors, place and number are one record until the end, so that groups
-of copies cost one record. A bucket of over BUCKET records is split by the records' numbers (records
-without a number stay with all of it): the exact check would part them anyway, so no pair is lost.
-
-Defined cases: null or blank title and company give empty vectors, which match nothing; a null place
-is an unknown one; a null source is a source of its own; repeated rows pair like the first.
+place are looked up in tables of whole title vectors and company blocks over all places. Records that
+show a number have tables of single blocks with the number, over all places. Pairs are scored by the
+field-weighted Dice coefficient, and scores become confidences by the monotone share of pairs with
+agreeing numbers among all pairs that show both numbers, apart for titles of the same words but for
+spelling. A confidence of DECIDED or more makes a match.
+An exact check follows: openings that differ in their number, their place or in words of the company
+that are no spelling of each other are different.
+
+Equal vectors, place and company are one profile, and rows of one source and number in it one record,
+until the end: tables of blocks hold profiles, so that groups of copies, and records without a number,
+of any size cost one row. Where a number is shown on both sides, the tables with the number are used.
+
+Defined cases: a null or blank title or company is an empty vector, and the score is that of the other
+field (both empty: no match); a null place is an unknown one; a null source is a source of its own;
+repeated rows pair like the first.
 """
 
 from __future__ import annotations
@@ -33,16 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tideglass.llm.canonical import Dictionary, fold, location_dictionary, match_segment
+from tideglass.llm.canonical import Dictionary, fold, location_dictionary, match_segment, weighted_distance
 from tideglass.plans.tables import cut
 
 TITLE_BITS, COMPANY_BITS = 128, 64
 TITLE_BLOCKS, COMPANY_BLOCKS, FINE_BLOCKS = 4, 4, 8
-BUCKET = 256
 WEIGHTS = {"title": 0.55, "company": 0.45}
 THRESHOLD = 0.5
+DECIDED = 0.5
 BINS = 40
-CALIBRATION_KEYS = 2_000_000
+# Legal forms and additions that are no part of a company's name.
+LEGAL_FORMS = frozenset("ltd llc inc ag gmbh corp co sa kk k s a an the pty pte plc bv group holding company limited corporation hiring careers jobs emea apac amer global recruiting".split())
 
 # Decoration of titles and companies.
 _TITLE_NOISE = re.compile(
@@ -65,7 +69,12 @@ def title_words(title: str | None) -> list[str]:
         if after == text:
             break
         text = after
-    return [_EXPAND.get(w, w) for w in _WORDS.findall(fold(text)) if w not in _FORM_WORDS]
+    return [_EXPAND.get(w, w) for w in _WORDS.findall(fold(text)) if not _is_form_word(w)]
+
+
+@lru_cache(maxsize=100_000)
+def _is_form_word(word: str) -> bool:
+    return word in _FORM_WORDS or any(abs(len(word) - len(f)) < 2 and weighted_distance(word, f)[0] < 2 for f in _FORM_WORDS)
 
 
 def company_word(company: str | None) -> str:
@@ -79,6 +88,14 @@ def company_word(company: str | None) -> str:
     return words[0] if words else ""
 
 
+def company_name(company: str | None) -> str:
+    """The words of the name, each once, without legal forms and additions."""
+    if company is None:
+        return ""
+    words = _WORDS.findall(fold(unicodedata.normalize("NFKC", company)))
+    return " ".join(dict.fromkeys([w for w in words if w not in LEGAL_FORMS] or words[:1]))
+
+
 @lru_cache(maxsize=100_000)
 def word_bits(word: str, bits: int) -> int:
     """One bit for each bigram of a word with its ends marked."""
@@ -95,11 +112,8 @@ def vector(words: list[str], bits: int) -> int:
     return out
 
 
-def number_of(url: str | None, job_id: str | None, title: str | None) -> str | None:
-    """The opening's number: of the address, else the employer's own, else of the title."""
-    found = _NUMBER.findall(url or "")
-    if found:
-        return found[-1]
+def number_of(job_id: str | None, title: str | None) -> str | None:
+    """The opening's number: the employer's own, else that of the title."""
     digits = re.sub(r"[\s._-]", "", unicodedata.normalize("NFKC", job_id or ""))
     m = re.fullmatch(r"(?i)(?:req|ref|jr|r|id|no)?[#:.]*0*(\d{8,10})", digits)
     if m:
@@ -126,146 +140,180 @@ def table_keys(t: int, c: int, place: int) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(x)) for x in names]
 
 
+def number_keys(t: int, c: int, number: str) -> list[int]:
+    """Keys of a record that shows a number: the number with every fine block of title or company; an empty field has none."""
+    names = [f"n{number},{i},{x}" for i, x in enumerate(cut_blocks(t, TITLE_BITS, FINE_BLOCKS)) if t] + [f"m{number},{j},{y}" for j, y in enumerate(cut_blocks(c, COMPANY_BITS, FINE_BLOCKS)) if c]
+    return [signed(xxhash.xxh64_intdigest(x)) for x in names]
+
+
 def wide_keys(t: int, c: int) -> list[int]:
     """Keys in the tables over all places, where records of unknown place are looked up."""
     names = [f"*{t},{j},{y}" for j, y in enumerate(cut_blocks(c, COMPANY_BITS, FINE_BLOCKS))] + [f"+{i},{x},{c}" for i, x in enumerate(cut_blocks(t, TITLE_BITS, TITLE_BLOCKS))]
     return [signed(xxhash.xxh64_intdigest(x)) for x in names]
 
 
-_ENCODED = StructType([StructField("t_low", LongType()), StructField("t_high", LongType()), StructField("c", LongType()), StructField("place", IntegerType()), StructField("number", StringType())])
+_ENCODED = StructType([StructField("t_low", LongType()), StructField("t_high", LongType()), StructField("c", LongType()), StructField("words", StringType()), StructField("name", StringType()), StructField("place", IntegerType()), StructField("number", StringType())])
+PROFILE = ("t_low", "t_high", "c", "words", "name", "place")
 
 
 def encoder(spark, places: Dictionary):
     shared = spark.sparkContext.broadcast(places)
 
-    def run(title: pd.Series, company: pd.Series, location: pd.Series, job_id: pd.Series, url: pd.Series) -> pd.DataFrame:
+    def run(title: pd.Series, company: pd.Series, location: pd.Series, job_id: pd.Series) -> pd.DataFrame:
         memo, rows = {}, []
-        for ti, co, lo, jo, ur in zip(title, company, location, job_id, url, strict=True):
-            t, word = vector(title_words(ti), TITLE_BITS), company_word(co)
+        for ti, co, lo, jo in zip(title, company, location, job_id, strict=True):
+            words, word = title_words(ti), company_word(co)
+            t = vector(words, TITLE_BITS)
             c = vector([word], COMPANY_BITS) if word else 0
             if lo not in memo:
                 memo[lo] = match_segment(lo, shared.value)[0] if lo is not None and lo.strip() else 0
-            rows.append((signed(t), signed(t >> 64), signed(c), memo[lo], number_of(ur, jo, ti)))
-        return pd.DataFrame(rows, columns=["t_low", "t_high", "c", "place", "number"])
+            rows.append((signed(t), signed(t >> 64), signed(c), " ".join(sorted(set(words))), company_name(co), memo[lo], number_of(jo, ti)))
+        return pd.DataFrame(rows, columns=[*PROFILE, "number"])
 
     return pandas_udf(run, _ENCODED)
 
 
-def _keys_udf(wide: bool):
-    def run(lo: pd.Series, hi: pd.Series, c: pd.Series, place: pd.Series) -> pd.Series:
+def _keys_udf(kind: str):
+    def run(lo: pd.Series, hi: pd.Series, c: pd.Series, other: pd.Series) -> pd.Series:
         m, out = (1 << 64) - 1, []
-        for a, b, x, p in zip(lo, hi, c, place, strict=True):
-            t = (int(b) & m) << 64 | int(a) & m
-            out.append(wide_keys(t, int(x) & m) if wide else table_keys(t, int(x) & m, int(p)))
+        for a, b, x, o in zip(lo, hi, c, other, strict=True):
+            t, y = (int(b) & m) << 64 | int(a) & m, int(x) & m
+            out.append(table_keys(t, y, int(o)) if kind == "place" else wide_keys(t, y) if kind == "wide" else number_keys(t, y, o))
         return pd.Series(out)
 
     return pandas_udf(run, ArrayType(LongType()))
 
 
 def records(items: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records: one row for each source, vectors, place and number; membership: ord -> record)."""
+    """(records: one row for each source, profile and number; membership: ord -> record)."""
     spark = items.sparkSession
     encode = encoder(spark, location_dictionary(places))
-    rows = items.where("ord is not null").select("ord", F.coalesce("source", F.lit("")).alias("source"), encode("title", "company", "location", "job_id", "url").alias("e")).select("ord", "source", "e.*")
-    rows = rows.where("c <> 0 and (t_low <> 0 or t_high <> 0)").select("ord", F.xxhash64("source").alias("source"), "t_low", "t_high", "c", "place", F.when(F.col("number").isNotNull(), F.xxhash64("number")).alias("number"))
-    rows = cut(rows.withColumn("rec", F.xxhash64("source", "t_low", "t_high", "c", "place", F.coalesce("number", F.lit(0)))))
-    return rows.select("rec", "source", "t_low", "t_high", "c", "place", "number").distinct(), rows.select("ord", "rec")
-
-
-def _bucketed(keyed: DataFrame) -> DataFrame:
-    """Rows with ``sub``: 0 in a bucket of at most BUCKET records, else the record's number, so that only equal numbers meet."""
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key", F.lit(True).alias("big"))
-    joined = keyed.join(large, "key", "left")
-    return cut(joined.select(*keyed.columns, F.coalesce("big", F.lit(False)).alias("big"), F.when(F.col("big"), F.coalesce("number", F.lit(-1))).otherwise(F.lit(0)).alias("sub")))
-
-
-def _pair(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    a, b = (d.select(*[F.col(x).alias(f"{p}_{x}") for x in ("key", "sub", "rec", "source", "number")]) for d, p in ((left, "a"), (right, "b")))
-    cond = (F.col("a_source") != F.col("b_source")) & (F.col("a_number").isNull() | F.col("b_number").isNull() | (F.col("a_number") == F.col("b_number")))
-    for x in on:
-        cond = (F.col(f"a_{x}") == F.col(f"b_{x}")) & cond
-    return a.join(b, cond).select(F.least("a_rec", "b_rec").alias("a"), F.greatest("a_rec", "b_rec").alias("b"))
+    rows = items.where("ord is not null").select("ord", F.coalesce("source", F.lit("")).alias("source"), encode("title", "company", "location", "job_id").alias("e")).select("ord", "source", "e.*")
+    rows = rows.where("c <> 0 or t_low <> 0 or t_high <> 0").select("ord", F.xxhash64("source").alias("source"), *PROFILE, "number", F.xxhash64(*PROFILE).alias("vec"))
+    rows = cut(rows.withColumn("rec", F.xxhash64("source", "vec", F.coalesce("number", F.lit("")))))
+    return rows.select("rec", "vec", "source", *PROFILE, "number").distinct(), rows.select("ord", "rec")
 
 
-def close_pairs(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of records from different sources that share a bucket and whose numbers do not differ; (a, b) of vectors that share a bucket of the sampled keys, for calibration)."""
-    vectors = ("t_low", "t_high", "c", "place")
-    keyed = _bucketed(heads.where("place > 0").select(F.explode(_keys_udf(False)(*vectors)).alias("key"), "rec", "source", "number", _vec().alias("vec")))
-    found = _pair(keyed, keyed, ["key", "sub"]).unionByName(_pair(keyed.where("big and number is null"), keyed.where("big and number is not null"), ["key"]))
-    wide = _bucketed(heads.select(F.explode(_keys_udf(True)(*vectors)).alias("key"), "rec", "source", "number", "place"))
-    lost = wide.where("place = 0")
-    found = found.unionByName(_pair(lost, wide, ["key", "sub"])).unionByName(_pair(lost.where("big and number is null"), wide.where("big and number is not null"), ["key"]))
-    found = found.unionByName(_pair(lost.where("big and number is not null"), wide.where("big and number is null"), ["key"]))
-    every = max(1, -(-keyed.count() // CALIBRATION_KEYS))
-    some = keyed.where((F.pmod(F.xxhash64("key"), F.lit(every)) == 0) & F.col("number").isNotNull()).select("key", "vec").distinct()
-    sample = some.withColumnRenamed("vec", "a").join(some.withColumnRenamed("vec", "b"), "key").where("a <= b").select("a", "b").distinct()
-    return found.distinct(), sample
+def numbered_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b) of records of different sources that agree in number and a block."""
+    keyed = heads.where("number is not null").select(F.explode(_keys_udf("number")("t_low", "t_high", "c", "number")).alias("key"), "rec", "source", "number", "place")
+    a, b = (keyed.select("key", *[F.col(x).alias(f"{p}_{x}") for x in ("rec", "source", "number", "place")]) for p in "ab")
+    return a.join(b, "key").where("a_rec < b_rec and a_source <> b_source and a_number = b_number and (a_place = b_place or a_place = 0 or b_place = 0)").select(F.col("a_rec").alias("a"), F.col("b_rec").alias("b")).distinct()
 
 
-def _vec():
-    return F.xxhash64("t_low", "t_high", "c", "place")
+def open_pairs(profiles: DataFrame) -> DataFrame:
+    """(a, b), a <= b, of profiles that share a block key and of which one has records without a number."""
+    near = profiles.where("place > 0").select(F.explode(_keys_udf("place")(*PROFILE[:3], "place")).alias("key"), "vec", "is_open", F.lit(True).alias("asks"))
+    wide = profiles.select(F.explode(_keys_udf("wide")(*PROFILE[:3], "place")).alias("key"), "vec", "is_open", (F.col("place") == 0).alias("asks"))
+    keyed = cut(near.unionByName(wide))
+    left = keyed.where("asks").select("key", F.col("vec").alias("x"), F.col("is_open").alias("x_open"))
+    met = left.join(keyed.select("key", F.col("vec").alias("y"), F.col("is_open").alias("y_open")), "key").where("x <> y and (x_open or y_open)")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.unionByName(profiles.where("is_open").select(F.col("vec").alias("a"), F.col("vec").alias("b")))
 
 
-def counted(sample: DataFrame, heads: DataFrame) -> DataFrame:
-    """(score, n, k) of each pair of vectors: the pairs of records of different sources that show both numbers, and those of them with equal numbers.
+def counted(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(score, n, k) of each scored pair of profiles (a, b, score): the pairs of records of different sources that show both numbers, and those of them with equal numbers.
 
     Neither expands the pairs of records with different numbers: n comes from the counts of each source, k from the numbers that occur twice.
     """
-    numbered = heads.where("place > 0 and number is not null").withColumn("vec", _vec())
+    numbered = heads.where("number is not null").select("vec", "source", "number")
     by_source = numbered.groupBy("vec", "source").agg(F.count(F.lit(1)).alias("n"))
     totals = by_source.groupBy("vec").agg(F.sum("n").alias("n"))
     of = lambda d, p: d.select(*[F.col(x).alias(p if x == "vec" else f"{p}_{x}") for x in d.columns])
-    within = sample.join(of(by_source, "a"), "a").join(of(by_source, "b").withColumnRenamed("b_source", "a_source"), ["b", "a_source"]).groupBy("a", "b").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("within"))
-    x, y = (numbered.select("place", "number", F.col("source").alias(f"{p}_source"), F.col("vec").alias(p)) for p in ("x", "y"))
-    equal = x.join(y, ["place", "number"]).where("x_source < y_source").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    both = pairs.select("a", "b")
+    within = both.join(of(by_source, "a"), "a").join(of(by_source, "b").withColumnRenamed("b_source", "a_source"), ["b", "a_source"]).groupBy("a", "b").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("within"))
+    mine, theirs = of(numbered, "a"), of(numbered, "b").withColumnRenamed("b_number", "a_number")
+    equal = both.join(mine, "a").join(theirs, ["b", "a_number"]).where("a_source <> b_source").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     every = F.col("a_n") * F.col("b_n") - F.coalesce("within", F.lit(0))
-    pairs = sample.join(of(totals, "a"), "a").join(of(totals, "b"), "b").join(within, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), every / 2).otherwise(every).cast("long").alias("n")).where("n > 0")
-    vectors = numbered.select(F.col("vec").alias("rec"), "t_low", "t_high", "c", "place", F.lit(None).cast("long").alias("number")).distinct()
-    rated = scored(pairs.select("a", "b"), vectors).where("same_place").select("a", "b", "score")
-    return rated.join(pairs, ["a", "b"]).join(equal, ["a", "b"], "left").select("score", "n", F.coalesce("k", F.lit(0)).alias("k"))
-
-
-def scored(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(a, b) with the Dice coefficients of their fields, their numbers and places; pairs of different known places are left out."""
-    names = ("t_low", "t_high", "c", "place", "number")
-    a = heads.select(F.col("rec").alias("a"), *[F.col(x).alias(f"a_{x}") for x in names])
-    b = heads.select(F.col("rec").alias("b"), *[F.col(x).alias(f"b_{x}") for x in names])
-    both = pairs.join(a, "a").join(b, "b").where("a_place = b_place or a_place = 0 or b_place = 0")
-    bits = lambda x: F.bit_count(F.col(x))
-    common = lambda x: F.bit_count(F.col(f"a_{x}").bitwiseAND(F.col(f"b_{x}")))
-    title = 2 * (common("t_low") + common("t_high")) / (bits("a_t_low") + bits("a_t_high") + bits("b_t_low") + bits("b_t_high"))
-    company = 2 * common("c") / (bits("a_c") + bits("b_c"))
-    score = WEIGHTS["title"] * title + WEIGHTS["company"] * company
-    return both.select("a", "b", title.alias("title_dice"), company.alias("company_dice"), score.alias("score"), (F.col("a_number") == F.col("b_number")).alias("same_number"), ((F.col("a_place") > 0) & (F.col("a_place") == F.col("b_place"))).alias("same_place"))
+    half = lambda x: F.when(F.col("a") == F.col("b"), x / 2).otherwise(x).cast("long")
+    out = pairs.join(of(totals, "a"), "a").join(of(totals, "b"), "b").join(within, ["a", "b"], "left").withColumn("n", half(every)).where("n > 0").join(equal, ["a", "b"], "left")
+    return out.select("score", "same_words", "n", half(F.coalesce("k", F.lit(0))).alias("k"))
+
+
+def _near(u, v):
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    return (F.levenshtein(u, v) <= F.when(F.least(F.length(u), F.length(v)) < 5, 1).otherwise(2)) | ((F.levenshtein(u, v) <= 2) & (letters(u) == letters(v)))
+
 
+def _one_name(a, b):
+    """Whether two companies' words are spellings of each other, one by one: shortened, left out at the end, or within two edits (one, or a swap, in words under five letters)."""
+    pairs = F.arrays_zip(F.split(a, " ").alias("u"), F.split(b, " ").alias("v"))
+    return (a == "") | (b == "") | F.forall(pairs, lambda p: p["u"].isNull() | p["v"].isNull() | p["u"].startswith(p["v"]) | p["v"].startswith(p["u"]) | _near(p["u"], p["v"]))
 
-def _bin(score):
-    return F.least(F.floor(score * BINS), F.lit(BINS - 1)).cast("int")
 
+def _one_title(a, b):
+    """Whether two titles have the same words but for spelling: what only one has stands against a word within edits that only the other has."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    mine, theirs = F.array_except(x, y), F.array_except(y, x)
+    return (F.size(mine) == F.size(theirs)) & F.forall(mine, lambda u: F.exists(theirs, lambda v: _near(u, v))) & F.forall(theirs, lambda v: F.exists(mine, lambda u: _near(u, v)))
 
-def calibration(sample: DataFrame) -> list[float]:
-    """The confidence of each score bin: the share of pairs with agreeing numbers, made monotone (pool adjacent violators)."""
-    rows = sample.groupBy(_bin(F.col("score")).alias("bin")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
-    counts = {r.bin: (r.n, r.k) for r in rows}
-    pools: list[list[float]] = []
-    for i in range(BINS):
-        n, k = counts.get(i, (0, 0))
-        pools.append([n + 1.0, k + i / BINS, 1])  # one virtual pair holds empty bins at the diagonal
-        while len(pools) > 1 and pools[-2][1] / pools[-2][0] > pools[-1][1] / pools[-1][0]:
-            n2, k2, m2 = pools.pop()
-            pools[-1] = [pools[-1][0] + n2, pools[-1][1] + k2, pools[-1][2] + m2]
-    return [k / n for n, k, m in pools for _ in range(int(m))]
+
+def scored(pairs: DataFrame, heads: DataFrame, by: str) -> DataFrame:
+    """(a, b) of records or profiles (``by``) with the Dice coefficients of their fields; pairs of different known places or companies are left out."""
+    rows = heads.select(by, *PROFILE).distinct()
+    a, b = (rows.select(F.col(by).alias(p), *[F.col(x).alias(f"{p}_{x}") for x in PROFILE]) for p in "ab")
+    both = pairs.join(a, "a").join(b, "b").where("a_place = b_place or a_place = 0 or b_place = 0").where(_one_name(F.col("a_name"), F.col("b_name")))
+    bits = lambda *xs: sum((F.bit_count(F.col(x)) for x in xs), F.lit(0))
+    common = lambda x: F.bit_count(F.col(f"a_{x}").bitwiseAND(F.col(f"b_{x}")))
+    t_a, t_b, c_a, c_b = bits("a_t_low", "a_t_high"), bits("b_t_low", "b_t_high"), bits("a_c"), bits("b_c")
+    title = F.when((t_a > 0) & (t_b > 0), 2 * (common("t_low") + common("t_high")) / (t_a + t_b))
+    company = F.when((c_a > 0) & (c_b > 0), 2 * common("c") / (c_a + c_b))
+    score = F.coalesce(WEIGHTS["title"] * title + WEIGHTS["company"] * company, title, company)
+    whole = title.isNotNull() & company.isNotNull()
+    return both.withColumn("score", score).where("score is not null").select("a", "b", "score", whole.alias("whole"), (whole & _one_title(F.col("a_words"), F.col("b_words"))).alias("same_words"), ((F.col("a_place") > 0) & (F.col("a_place") == F.col("b_place"))).alias("same_place"))
+
+
+def _bin():
+    """The bin of a score, those of pairs with the same words behind the others."""
+    return F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int") + F.when(F.col("same_words"), BINS).otherwise(0)
+
+
+def reliability(counts: DataFrame) -> list[tuple[int, int, int, float]]:
+    """(bin, n, k, confidence): the share of pairs with agreeing numbers, made monotone in the score (pool adjacent violators), apart for pairs with the same words."""
+    rows = counts.groupBy(_bin().alias("bin")).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()  # two rows a bin
+    found = {r.bin: (r.n, r.k) for r in rows}
+    out = []
+    for base in (0, BINS):
+        pools: list[list[float]] = []
+        for i in range(BINS):
+            n, k = found.get(base + i, (0, 0))
+            prior = (i / BINS) ** (1 if base else 8)
+            pools.append([n + 1.0, k + prior, 1])  # one virtual pair holds empty bins: at the score for the same words, far below it for others
+            while len(pools) > 1 and pools[-2][1] / pools[-2][0] > pools[-1][1] / pools[-1][0]:
+                n2, k2, m2 = pools.pop()
+                pools[-1] = [pools[-1][0] + n2, pools[-1][1] + k2, pools[-1][2] + m2]
+        confidence = [k / n for n, k, m in pools for _ in range(int(m))]
+        out += [(base + i, *found.get(base + i, (0, 0)), confidence[i]) for i in range(BINS)]
+    return out
+
+
+def _prepared(items: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """(records, membership, scored pairs of profiles, reliability table)."""
+    heads, membership = records(items, places)
+    profiles = heads.groupBy("vec", *PROFILE).agg(F.max(F.col("number").isNull()).alias("is_open"))
+    pairs = cut(scored(open_pairs(profiles), heads, "vec").where(F.col("whole") & (F.col("score") >= THRESHOLD)))
+    return heads, membership, pairs, reliability(counted(pairs, heads))
 
 
 def match(items: DataFrame, places: DataFrame) -> DataFrame:
     """(ord_a, ord_b, score, confidence, same_number, same_place) of each pair of rows of the same opening."""
-    heads, membership = records(items, places)
-    pairs, sample = close_pairs(heads)
-    table = F.array(*[F.lit(x) for x in calibration(counted(sample, heads))])
-    confidence = F.element_at(table, _bin(F.col("score")) + 1)
-    both = scored(pairs, heads).where(F.coalesce("same_number", F.lit(True)) & (F.col("score") >= THRESHOLD))
-    rated = both.withColumn("confidence", F.when(F.col("same_number"), 1 - (1 - confidence) * (1 - F.col("score"))).otherwise(confidence))
-    rated = rated.where(F.col("same_number") | (F.col("confidence") >= 0.5))
+    heads, membership, pairs, table = _prepared(items, places)
+    confidence = F.element_at(F.array(*[F.lit(x[3]) for x in table]), _bin() + 1)
+    # where both show a number it is one more agreeing field; the score says how far the others bear it out
+    agreeing = scored(numbered_pairs(heads), heads, "rec").withColumns({"confidence": 1 - (1 - confidence) * (1 - F.col("score")), "same_number": F.lit(True)})
+    likely = pairs.withColumn("confidence", confidence).where(F.col("confidence") >= DECIDED)
+    side = lambda p: heads.select(F.col("vec").alias(p), F.col("rec").alias(f"{p}_rec"), F.col("source").alias(f"{p}_source"), F.col("number").isNull().alias(f"{p}_open"))
+    spread = likely.join(side("a"), "a").join(side("b"), "b").where("(a_open or b_open) and a_source <> b_source and (a <> b or a_rec < b_rec)")
+    columns = ["a", "b", "score", "same_place", "confidence", "same_number"]
+    spread = spread.select(F.col("a_rec").alias("a"), F.col("b_rec").alias("b"), "score", "same_place", "confidence", F.lit(None).cast("boolean").alias("same_number"))
+    rated = agreeing.where(F.col("confidence") >= DECIDED).select(*columns).unionByName(spread)
     left, right = membership.select(F.col("rec").alias("a"), F.col("ord").alias("x")), membership.select(F.col("rec").alias("b"), F.col("ord").alias("y"))
     out = rated.join(left, "a").join(right, "b")
     return out.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"), "score", "confidence", "same_number", "same_place")
+
+
+def reliability_table(items: DataFrame, places: DataFrame) -> DataFrame:
+    """(same_words, from_score, n_pairs, n_agreeing, share, confidence): what the confidences were read from, and how they bear it out."""
+    rows = [(i >= BINS, i % BINS / BINS, int(n), int(k), k / n if n else None, c) for i, n, k, c in _prepared(items, places)[3]]
+    return items.sparkSession.createDataFrame(rows, "same_words boolean, from_score double, n_pairs long, n_agreeing long, share double, confidence double")

@@ -49,6 +49,12 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(load("job_item"), load("ref_location"))
 
 
+def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reliability table of the confidences."""
+    load = _load(spark, sf_dir)
+    return matching.reliability_table(load("job_item"), load("ref_location"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flag(table(spark, sf_dir, "job_item")).select("ord", "field")
 
@@ -86,5 +92,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p5_found, p5_confidence, p6_found, p6_reasons, p6_templates, p6_induced, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p3_found, p4_found, p4_bodies, p5_found, p5_confidence, p5_reliability, p6_found, p6_reasons, p6_templates, p6_induced, p7_ids, p8_mix, p8_shares, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
