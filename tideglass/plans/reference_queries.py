@@ -39,7 +39,15 @@ def sq(x: str) -> str:
     return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'))"
 
 
+def cl(x: str) -> str:
+    """References resolved (those that occur) before white space is squeezed."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
 def mf(x: str) -> str:
+    x = cl(x)
     return f"lower(translate({sq(x)}, '’‘“”–—', '''''\"\"--'))"
 
 
@@ -65,7 +73,7 @@ ACCEPT = {"location_any": ["canada", "germany", "japan"], "title_any": ["enginee
 
 @query(f"SELECT ord FROM job_item WHERE {any_hit(mf(e('location')), ACCEPT['location_any'])} AND {any_hit(mf(e('title')), ACCEPT['title_any'])}")
 def source_accept(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "job_item").where(postings.accepts(**ACCEPT, form=T.squeezed_match_form)).select("ord")
+    return table(spark, d, "job_item").where(postings.accepts(**ACCEPT)).select("ord")
 
 
 _GENERIC = f"CASE WHEN contains(t, '{{{{') OR contains(t, '}}}}') OR t IN ('careers', 'undefined', 'null') THEN 35 ELSE 0 END"
@@ -80,7 +88,7 @@ _GENERIC = f"CASE WHEN contains(t, '{{{{') OR contains(t, '}}}}') OR t IN ('care
 def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "job_source").select(F.col("name").alias("source"), "priority")
     items = table(spark, d, "job_item").select("ord", "title", "snippet", "url", "company", "location", "employment_type", "position_level", "source")
-    return postings.score(items.join(sources, "source", "left"), TERMS, "priority", form=T.squeezed_match_form).select("ord", F.col("score").cast("int").alias("score"))
+    return postings.score(items.join(sources, "source", "left"), TERMS, "priority").select("ord", F.col("score").cast("int").alias("score"))
 
 
 _SEGMENTS = f"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(translate(x, '’‘“”–—', '''''\"\"--'), '(?i)\\b((?:minimum|required|preferred|nice to have|nice-to-have|bonus){SPACE}+(?:qualifications?|requirements?)\\b)', '\n\\1', 'g'),
@@ -106,18 +114,24 @@ def excerpt_snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "job_item").select("ord", T.snippet(F.col("company"), F.col("location"), F.col("employment_type"), F.col("snippet"), 120).alias("text"))
 
 
+_STAND_IN = audit.STAND_IN.replace("'", "''")
+_DIGITS = "list_transform(regexp_extract_all(x, '(?i)(?:phone|mobile|telephone|手机号|电话)[\"'']?\\s*[:=：]\\s*[\"'']?(\\+?[\\d ()-]{7,20})', 1), lambda v: regexp_replace(v, '[^0-9]', '', 'g'))"
+
+
 @query(
-    """WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n')) AS x FROM documents WHERE text IS NOT NULL),
-    c AS (SELECT doc_id, x, 'email-address' AS category FROM l WHERE regexp_matches(x, '(^|[^a-zA-Z0-9_.-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}([^a-zA-Z0-9_.-]|$)')
-    UNION ALL SELECT doc_id, x, 'bearer-credential' FROM l WHERE regexp_matches(x, '(?i)\\bBearer\\s+[A-Za-z0-9._~-]{16,}')
-    UNION ALL SELECT doc_id, x, 'identity-card-number' FROM l WHERE regexp_matches(x, '(^|[^0-9])[1-9][0-9]{5}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]([^0-9]|$)'))
+    f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n')) AS x FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, x, 'email-address' AS category FROM l WHERE regexp_matches(x, '(^|[^a-zA-Z0-9_.-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}([^a-zA-Z0-9_.-]|$)')
+    UNION ALL SELECT doc_id, x, 'bearer-credential' FROM l WHERE regexp_matches(x, '(?i)\\bBearer\\s+[A-Za-z0-9._~-]{{16,}}')
+    UNION ALL SELECT doc_id, x, 'identity-card-number' FROM l WHERE regexp_matches(x, '(^|[^0-9])[1-9][0-9]{{5}}(19|20)[0-9]{{2}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{{3}}[0-9Xx]([^0-9]|$)')
+    UNION ALL SELECT doc_id, x, 'secret-token' FROM l WHERE regexp_matches(x, '{audit.TOKEN}')
+    UNION ALL SELECT doc_id, x, 'credential-assignment' FROM l WHERE len(list_filter(regexp_extract_all(x, '{audit.ASSIGNMENT.replace("'", "''")}', 1), lambda v: length(v) >= 6 AND NOT regexp_matches(v, '{_STAND_IN}'))) > 0
+    UNION ALL SELECT doc_id, x, 'phone-number' FROM l WHERE regexp_matches(x, '(^|[^0-9])((\\+?86[- ]?)?1[3-9][0-9]{{9}})([^0-9]|$)') OR regexp_matches(x, '(^|[^0-9])(\\+65[- ]?[689][0-9]{{3}}[- ]?[0-9]{{4}})([^0-9]|$)') OR len(list_filter({_DIGITS}, lambda v: length(v) >= 7)) > 0)
     SELECT category, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM c GROUP BY 1"""
 )
 def sensitive_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
     rows = markdown.lines(docs, "doc_id").select("doc_id", F.explode(audit.sensitive(F.col("value"), F.lit(False))).alias("category"))
-    kept = rows.where(F.col("category").isin("email-address", "bearer-credential", "identity-card-number"))
-    return kept.groupBy("category").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 _FLAGS = {"internship": ["intern", "internship"], "internship_places": ["japan", "china"], "blocked": ["commission", "unpaid"], "other_places": ["brazil", "anywhere"]}
@@ -129,7 +143,7 @@ _FLAGS = {"internship": ["intern", "internship"], "internship_places": ["japan",
     + CASE WHEN coalesce(ex < DATE '{AS_OF}', false) THEN 1 ELSE 0 END)::INTEGER AS n_flags FROM x"""
 )
 def flagged_items(spark: SparkSession, d: str) -> DataFrame:
-    found = postings.flags(**_FLAGS, years_allowed=[], as_of=F.lit(AS_OF).cast("date"), form=T.squeezed_match_form)
+    found = postings.flags(**_FLAGS, years_allowed=[], as_of=F.lit(AS_OF).cast("date"))
     return table(spark, d, "job_item").select("ord", F.size(found).alias("n_flags"))
 
 
@@ -141,7 +155,7 @@ _TRACK = "list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1),
     || CASE WHEN regexp_extract(url, '#(.*)$', 1) <> '' THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END AS address FROM job_item"""
 )
 def url_normal_form(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "job_item").select("ord", U.plain_normal_form(F.col("url")).alias("address"))
+    return table(spark, d, "job_item").select("ord", U.normal_form(F.col("url")).alias("address"))
 
 
 _KEYS = ", ".join(f"nullif(trim(regexp_extract(u, '^[^?#]*\\?(?:[^#]*&)?{k}=([^&#]*)', 1)), '')" for k in U.ID_KEYS)
@@ -255,7 +269,7 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "job_item").select("ord", U.plain_normal_form(F.col("url")).alias("address"), T.company_form(F.coalesce("company", F.lit(""))).alias("owner"), F.coalesce("job_id", F.lit("")).alias("job_id"),
+    items = table(spark, d, "job_item").select("ord", U.normal_form(F.col("url")).alias("address"), T.company_form(F.coalesce("company", F.lit(""))).alias("owner"), F.coalesce("job_id", F.lit("")).alias("job_id"),
                                                T.fingerprint(F.coalesce("company", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("location", F.lit(""))).alias("print"))
     return dedup.greedy(items, "ord", "address", "owner", "job_id", "print").select("ord")
 
@@ -264,12 +278,12 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen_id) AS n FROM seen_batch) WHERE n = 1),
     k AS (SELECT b.*, s.key AS old_key, s.first_seen AS old_first FROM b LEFT JOIN seen_jobs s ON s.key = b.key), free AS (SELECT url, min(key) AS key, arg_min(first_seen, key) AS first_seen FROM seen_jobs WHERE key NOT IN (SELECT old_key FROM k WHERE old_key IS NOT NULL) GROUP BY url),
     m AS (SELECT k.key, k.title, k.url, k.source, k.score, coalesce(k.old_key, f.key) AS old_key, coalesce(k.old_first, f.first_seen) AS old_first FROM k LEFT JOIN free f ON k.old_key IS NULL AND f.url = k.url)
-    SELECT key, title, url, source, coalesce(old_first, '2026-08-12T00:00:00Z') AS first_seen, '2026-08-12T00:00:00Z' AS last_seen, score FROM m UNION ALL SELECT key, title, url, source, first_seen, last_seen, score FROM seen_jobs WHERE key NOT IN (SELECT old_key FROM m WHERE old_key IS NOT NULL)"""
+    SELECT key, title, url, source, coalesce(old_first, '2026-08-12T00:00:00Z') AS first_seen, '2026-08-12T00:00:00Z' AS last_seen, score, coalesce(old_first IS NULL OR (try_cast(old_first AS TIMESTAMPTZ) AT TIME ZONE 'UTC')::DATE = DATE '2026-08-12', false) AS is_new FROM m UNION ALL SELECT key, title, url, source, first_seen, last_seen, score, false FROM seen_jobs WHERE key NOT IN (SELECT old_key FROM m WHERE old_key IS NOT NULL)"""
 )
 def seen_state(spark: SparkSession, d: str) -> DataFrame:
     batch = dedup.first_by(table(spark, d, "seen_batch"), ["key"], [F.col("seen_id")])
     now = F.lit("2026-08-12T00:00:00Z").cast("timestamp")
-    return state.merge_seen(table(spark, d, "seen_jobs").select(*state.SEEN), batch, now).select(*state.SEEN)
+    return state.merge_seen(table(spark, d, "seen_jobs").select(*state.SEEN), batch, now).select(*state.SEEN, "is_new")
 
 
 _RUNS = "(SELECT user_id, ts, event_id, CAST(ts AS DATE) AS day, event_type = 'error' AS failed FROM events)"
