@@ -2,9 +2,13 @@
 
 Method: a symmetric-delete dictionary of the folded reference names is broadcast (its size is
 checked); each value's deletes are looked up in it, so that every entry within the edit bound is
-found without comparing against the list. Candidates are ranked by weighted Damerau-Levenshtein
-distance, agreement with the region and country written beside the name, and the frequency with
-which the entry is named exactly in the data. A value without a candidate is reported as id 0.
+found without comparing against the list. Names in scripts without spaces and the ends of compounds
+are looked up the same way, by the parts of the value that are as long as some name. Candidates are
+ranked by weighted Damerau-Levenshtein distance, agreement with the region and country written beside
+the name, and the frequency with which the entry is named exactly in the data. A value without a
+candidate is reported as id 0. Each distinct value is matched once, in one pass; its candidates that
+only the frequency can tell apart are settled by a join with the counts. A list of over MAX_ENTRIES
+rows is not broadcast: ``resolve_large`` joins the deletes of names and values in a shuffle.
 
 Two readings of a value exist: ``window`` (any run of words may name the entry; the longest exact
 run wins) and ``segment`` (a part between separators must be the name as a whole once words of
@@ -26,13 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StructField, StructType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from tideglass.plans.tables import bounded_rows
+from tideglass.plans.tables import bounded_rows, cut
 
 MAX_ENTRIES = 50_000
-MAX_WORDS = 5
-MEMO = 100_000
+SHORTEST_END = 6
 
 # Usual names of the employment types that a reference list may lack.
 EMPLOYMENT_NAMES = {
@@ -136,17 +139,30 @@ class Dictionary:
                 for d in deletes(key, bound(len(key))):
                     self.index[d].add(key)
         self.exact, self.index = dict(self.exact), dict(self.index)
-        self.cjk = sorted((k for k in self.exact if _CJK.search(k)), key=len, reverse=True)
+        self.cjk_lengths = sorted({len(k) for k in self.exact if _CJK.search(k)}, reverse=True)
+        self.longest = max(map(len, self.exact), default=0)
         self.context = context or {}
         self.surroundings = set().union(*self.context.values()) if self.context else set()
-        self.frequency: dict[int, int] = {}
+
+    def inside(self, text: str) -> list[str]:
+        """The longest name of a script without spaces that stands in ``text``, the first of these; at most one."""
+        for n in self.cjk_lengths:
+            for i in range(len(text) - n + 1):
+                if (k := text[i : i + n]) in self.exact and _CJK.search(k):
+                    return [k]
+        return []
+
+    def ends(self, word: str) -> set[str]:
+        """The names that begin or end a word which is up to eight letters longer."""
+        sizes = range(max(SHORTEST_END, len(word) - 8), len(word) + 1)
+        return {k for n in sizes for k in (word[:n], word[-n:]) if k in self.exact}
 
     def near(self, key: str) -> list[tuple[float, str]]:
         """All names within the edit bound of ``key``, with their weights."""
         if key in self.exact:
             return [(0.0, key)]
         depth = bound(len(key) + 1)
-        if not depth:
+        if not depth or len(key) > self.longest + 2:
             return []
         found = {k for d in deletes(key, depth) for k in self.index.get(d, ())}
         out = []
@@ -156,30 +172,32 @@ class Dictionary:
                 out.append((weight, k))
         return sorted(out)
 
-    def best(self, candidates: list[tuple[float, int, str]], beside: set[str]) -> tuple[int, float]:
-        """candidates: (weight, -length, name). Agreement with what stands beside outranks frequency."""
-        ranked = [(w, n, -len(self.context.get(r, set()) & beside), -self.frequency.get(r, 0), r) for w, n, k in candidates for r in self.exact[k]]
+    def best(self, candidates: list[tuple[float, int, str]], beside: set[str]) -> tuple[list[int], float]:
+        """candidates: (weight, -length, name). The best entries, several where only frequency can tell; agreement with what stands beside outranks it."""
+        ranked = [(w, n, -len(self.context.get(r, set()) & beside), r) for w, n, k in candidates for r in self.exact[k]]
         if not ranked:
-            return 0, 0.0
-        first = min(ranked)
-        if beside:  # an entry of the written country goes before a nearer name of another
-            first = min(ranked, key=lambda x: (x[2] == 0, *x))
-        return first[4], first[0]
+            return [0], 0.0
+        # an entry of the written country goes before a nearer name of another
+        order = (lambda x: (x[2] == 0, *x[:3])) if beside else (lambda x: x[:3])
+        first = min(map(order, ranked))
+        return sorted({x[3] for x in ranked if order(x) == first}), first[-3]
 
 
-def match_window(value: str, d: Dictionary) -> tuple[int, float]:
+def match_window(value: str, d: Dictionary) -> tuple[list[int], float]:
     words = [w.replace("_", "") for w in _WORD.findall(fold(value).replace("_", " "))]
     camel = [w.replace("_", "") for w in _WORD.findall(fold(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)).replace("_", " "))]
     found: list[tuple[float, int, str]] = []
     for ws in ([words] if words == camel else [words, camel]):
         for i in range(len(ws)):
-            for j in range(i + 1, min(len(ws), i + MAX_WORDS) + 1):
-                found += [(w, -len(k), k) for w, k in d.near("".join(ws[i:j]))]
-    joined = "".join(words)
-    found += [(0.0, -len(k) * 3, k) for k in d.cjk if k in joined][:1]
+            run = ""
+            for j in range(i, len(ws)):
+                run += ws[j]
+                if len(run) > d.longest + 2:  # no name is within two edits of a longer run
+                    break
+                found += [(w, -len(k), k) for w, k in d.near(run)]
+    found += [(0.0, -len(k) * 3, k) for k in d.inside("".join(words))]
     if not found:  # compounds: the name ends or begins a longer word
-        for w in words:
-            found += [(0.5, -len(k), k) for k in d.exact if len(k) >= 6 and len(w) <= len(k) + 8 and (w.endswith(k) or w.startswith(k))]
+        found += [(0.5, -len(k), k) for w in words for k in d.ends(w)]
     exact = [f for f in found if f[0] == 0.0]
     if exact:
         longest = min(exact, key=lambda f: f[1])
@@ -188,20 +206,25 @@ def match_window(value: str, d: Dictionary) -> tuple[int, float]:
     return d.best(found, set())
 
 
-def match_segment(value: str, d: Dictionary) -> tuple[int, float]:
-    folded = _DECOR_CJK.sub(" ", fold(value))
+def segments_of(value: str) -> list[str]:
+    """The compact parts of a value between separators, without words that stand beside place names."""
     parts = []
-    for part in _SEPARATOR.split(folded):
+    for part in _SEPARATOR.split(_DECOR_CJK.sub(" ", fold(value))):
         words = [w for w in _WORD.findall(part or "") if w not in PLACE_WORDS and not _ORDINAL.fullmatch(w)]
         if words:
             parts.append("".join(words).replace("_", ""))
+    return parts
+
+
+def match_segment(value: str, d: Dictionary) -> tuple[list[int], float]:
+    parts = segments_of(value)
     surrounding = {p for p in parts if p in d.surroundings}
     named = [p for p in parts if p not in d.surroundings or p in d.exact]
     found: list[tuple[float, int, str]] = []
     for p in named:
         found += [(w, -len(k), k) for w, k in d.near(p)]
         if _CJK.search(p):
-            found += [(0.1, -len(k), k) for k in d.cjk if k in p][:1]
+            found += [(0.1, -len(k), k) for k in d.inside(p)]
     return d.best(found, surrounding)
 
 
@@ -226,49 +249,120 @@ def location_dictionary(ref: DataFrame) -> Dictionary:
     return Dictionary(names, context)
 
 
-_MATCH = StructType([StructField("ref_id", LongType()), StructField("weight", DoubleType())])
+_MATCH = StructType([StructField("refs", ArrayType(LongType())), StructField("weight", DoubleType())])
 
 
 def matcher(spark, dictionary: Dictionary, mode: str):
-    """A pandas UDF value -> (ref_id, weight) over the broadcast dictionary; each worker keeps a bounded memo of values."""
+    """A pandas UDF value -> (refs, weight) over the broadcast dictionary."""
     shared = spark.sparkContext.broadcast(dictionary)
     match = {"window": match_window, "segment": match_segment}[mode]
 
     def run(values: pd.Series) -> pd.DataFrame:
-        d, memo, out = shared.value, {}, []
-        for v in values:
-            if v is None or not v.strip():
-                out.append((None, None))
-                continue
-            hit = memo.get(v)
-            if hit is None:
-                hit = match(v, d)
-                if len(memo) < MEMO:
-                    memo[v] = hit
-            out.append(hit)
-        return pd.DataFrame({"ref_id": pd.array([x[0] for x in out], dtype="Int64"), "weight": pd.array([x[1] for x in out], dtype="Float64")})
+        out = [match(v, shared.value) for v in values]
+        return pd.DataFrame({"refs": [x[0] for x in out], "weight": [x[1] for x in out]})
 
     return pandas_udf(run, _MATCH)
 
 
-def frequencies(values: DataFrame, dictionary: Dictionary, mode: str) -> dict[int, int]:
-    """How often each entry is named exactly and alone; the result has at most one row for each entry."""
-    udf = matcher(values.sparkSession, dictionary, mode)
-    named = values.select(udf("value").alias("m")).where((F.col("m.ref_id") > 0) & (F.col("m.weight") == 0)).groupBy("m.ref_id").count()
-    return {r[0]: r[1] for r in bounded_rows(named, MAX_ENTRIES, "matched entries")}
+def _named(values: DataFrame) -> DataFrame:
+    return values.where(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)[^\s\u001c-\u001f]"))
+
+
+def _settled(named: DataFrame, matched: DataFrame) -> DataFrame:
+    """Rows with the entry of their value; ``matched`` (value, n, refs, weight) has each distinct value once, n is its number of rows."""
+    seen = matched.where("weight = 0 and refs[0] > 0").groupBy(F.col("refs")[0].alias("ref_id")).agg(F.sum("n").alias("seen"))
+    open_ = matched.where(F.size("refs") > 1).select("value", F.explode("refs").alias("ref_id")).join(seen, "ref_id", "left")
+    chosen = open_.groupBy("value").agg(F.max_by("ref_id", F.struct(F.coalesce("seen", F.lit(0)), -F.col("ref_id"))).alias("chosen"))
+    final = matched.join(chosen, "value", "left").select("value", F.coalesce("chosen", F.col("refs")[0]).alias("ref_id"), "weight")
+    return named.join(final, "value").select("field", "row_id", "value", "ref_id", "weight")
 
 
 def resolve(values: DataFrame, dictionary: Dictionary, mode: str) -> DataFrame:
     """``values`` (field, row_id, value) -> (field, row_id, value, ref_id, weight) for each value neither null nor blank."""
-    named = values.where(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)[^\s\u001c-\u001f]"))
-    dictionary.frequency = frequencies(named, dictionary, mode)
+    named = _named(values)
     udf = matcher(values.sparkSession, dictionary, mode)
-    return named.withColumn("m", udf("value")).where(F.col("m.ref_id").isNotNull()).select("field", "row_id", "value", "m.ref_id", "m.weight")
+    matched = cut(named.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("m", udf("value")).select("value", "n", "m.refs", "m.weight"))
+    return _settled(named, matched)
+
+
+def resolve_large(values: DataFrame, names: DataFrame) -> DataFrame:
+    """``resolve`` by segments for a list of any size: ``names`` (ref_id, name, context array<string>) stays a table.
+
+    Parts of values meet names that share a delete with them; then the same distance, agreement and ranks
+    hold. Names inside longer texts of scripts without spaces are met by all runs as long as some name.
+    """
+    named = _named(values)
+    keyed = names.where("ref_id is not null and name is not null").select("ref_id", F.explode(_keys_udf("name")).alias("k"), F.coalesce(_folded_all("context"), F.array().cast("array<string>")).alias("context")).where("k <> ''")
+    sizes = keyed.agg(F.max(F.length("k")).alias("longest"), F.array_sort(F.collect_set(F.when(F.col("k").rlike(_CJK.pattern), F.length("k")))).alias("cjk")).first()  # one row: a length and a few lengths
+    index = keyed.select("ref_id", "k", "context", F.explode(_deletes("k", F.lit(0))).alias("d"))
+    distinct = cut(named.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    asked = distinct.select("value", F.explode(_asked_udf(sizes.longest or 0, sizes.cjk or [])("value")).alias("a")).select("value", "a.*")
+    met = asked.withColumn("d", F.explode(F.when(F.col("inside"), F.array("part")).otherwise(_deletes("part", F.lit(1))))).join(index, "d").where("not inside or part = k").dropDuplicates(["value", "part", "whole", "inside", "ref_id", "k"])
+    # a part that is a name stands for it alone; of the names inside a part the longest
+    length = F.when(F.col("inside"), F.length("k")).when(F.col("part") == F.col("k"), F.lit(1)).otherwise(0)
+    most = met.groupBy("value", "whole", "inside").agg(F.max(length).alias("most"))
+    met = met.join(most, ["value", "whole", "inside"]).where((length == F.col("most")) | (~F.col("inside") & (F.col("most") == 0)))
+    rated = met.withColumn("w", F.when(F.col("inside"), F.lit(0.1)).otherwise(_weight("part", "k"))).where("w is not null")
+    agree = F.size(F.array_intersect("context", "beside"))
+    rank = F.struct(((F.size("beside") > 0) & (agree == 0)).alias("far"), "w", (-F.length("k")).alias("l"), (-agree).alias("a"))
+    ranked = rated.groupBy("value", "ref_id").agg(F.min(rank).alias("r"))
+    best = ranked.groupBy("value").agg(F.min("r").alias("r"))
+    refs = ranked.join(best, ["value", "r"]).groupBy("value").agg(F.array_sort(F.collect_set("ref_id")).alias("refs"), F.min("r.w").alias("weight"))
+    matched = cut(distinct.join(refs, "value", "left").select("value", "n", F.coalesce("refs", F.array(F.lit(0).cast("long"))).alias("refs"), F.coalesce("weight", F.lit(0.0)).alias("weight")))
+    return _settled(named, matched)
+
+
+@pandas_udf(ArrayType(StringType()))
+def _keys_udf(names: pd.Series) -> pd.Series:
+    return pd.Series([sorted(keys_of(n)) for n in names])
+
+
+@pandas_udf(ArrayType(StringType()))
+def _folded_all(lists: pd.Series) -> pd.Series:
+    return pd.Series([None if xs is None else sorted({k for x in xs if x for k in keys_of(x)}) for xs in lists])
+
+
+@pandas_udf(ArrayType(StringType()))
+def _deletes(keys: pd.Series, more: pd.Series) -> pd.Series:
+    return pd.Series([sorted(deletes(k, 0 if _CJK.search(k) else bound(len(k) + int(m)))) for k, m in zip(keys, more, strict=True)])
+
+
+@pandas_udf(DoubleType())
+def _weight(parts: pd.Series, keys: pd.Series) -> pd.Series:
+    def one(a: str, k: str) -> float | None:
+        edits, weight = weighted_distance(a, k)
+        return weight if edits <= min(bound(len(k)), bound(len(a) + 1)) else None
+
+    return pd.Series([one(a, k) for a, k in zip(parts, keys, strict=True)], dtype="Float64")
+
+
+_ASKED = ArrayType(StructType([StructField("part", StringType()), StructField("whole", StringType()), StructField("inside", BooleanType()), StructField("beside", ArrayType(StringType()))]))
+
+
+def _asked_udf(longest: int, cjk: list[int]):
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            parts = sorted(set(segments_of(v)))
+            rows = [{"part": p, "whole": p, "inside": False, "beside": parts} for p in parts if len(p) <= longest + 2]
+            out.append(rows + [{"part": r, "whole": p, "inside": True, "beside": parts} for p in parts if _CJK.search(p) for r in sorted({p[i : i + n] for n in cjk for i in range(len(p) - n + 1)})])
+        return pd.Series(out)
+
+    return pandas_udf(run, _ASKED)
+
+
+def location_names(ref: DataFrame) -> DataFrame:
+    """(ref_id, name, context) of a list of places, for ``resolve_large``."""
+    others = F.create_map(*[x for k, v in COUNTRY_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    texts = F.array().cast("array<string>")
+    return ref.where("ref_id is not null").select("ref_id", F.explode(F.concat(F.array("city"), F.coalesce("aliases", texts))).alias("name"), F.concat(F.array("region", "region_code", "country"), F.coalesce(F.try_element_at(others, F.col("country")), texts)).alias("context")).where("name is not null")
 
 
 def workspace(spark, load) -> DataFrame:
-    """All three fields of a workspace; ``load(name)`` gives a table."""
+    """All three fields of a workspace; ``load(name)`` gives a table. A long list of places stays a table, with the same results."""
     employment = load("ashby_job").select(F.lit("ashby_job.employment_type").alias("field"), F.col("ashby_row").alias("row_id"), F.col("employment_type").alias("value")).unionByName(
         load("lever_posting").select(F.lit("lever_posting.categories.commitment").alias("field"), F.col("lever_row").alias("row_id"), F.col("categories.commitment").alias("value")))
     places = load("job_item").select(F.lit("job_item.location").alias("field"), F.col("ord").alias("row_id"), F.col("location").alias("value"))
-    return resolve(employment, employment_dictionary(load("ref_employment")), "window").unionByName(resolve(places, location_dictionary(load("ref_location")), "segment"))
+    ref = load("ref_location")
+    placed = resolve_large(places, location_names(ref)) if ref.count() > MAX_ENTRIES else resolve(places, location_dictionary(ref), "segment")
+    return resolve(employment, employment_dictionary(load("ref_employment")), "window").unionByName(placed)

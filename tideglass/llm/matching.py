@@ -166,7 +166,7 @@ def encoder(spark, places: Dictionary):
             t = vector(words, TITLE_BITS)
             c = vector([word], COMPANY_BITS) if word else 0
             if lo not in memo:
-                memo[lo] = match_segment(lo, shared.value)[0] if lo is not None and lo.strip() else 0
+                memo[lo] = match_segment(lo, shared.value)[0][0] if lo is not None and lo.strip() else 0
             rows.append((signed(t), signed(t >> 64), signed(c), " ".join(sorted(set(words))), company_name(co), memo[lo], number_of(jo, ti)))
         return pd.DataFrame(rows, columns=[*PROFILE, "number"])
 
