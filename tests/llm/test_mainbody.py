@@ -45,6 +45,20 @@ def test_html_tree():
     assert M.render(M.build_html(page)) == "Role\n\nFirst\nline\n\nSecond & last\n\n• one\n• two bold\n\na    bb\nccc  d"
 
 
+def test_containers_and_class_names():
+    assert M.render(M.build_html('<body class="no-sidebar"><form><div class="page with-sidebar"><p>Role</p></div><input type=text></form><div class="sidebar">x</div><div id=footer>y</div></body>')) == "Role"
+    assert M.render(M.build_html('<body class="footer"><p>Role<div class="cookie-banner big">c</div>')) == "Role"
+
+
+def test_nested_tables():
+    assert M.render(M.build_html("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd</table><tr><td>e</table>")) == "a  b c dd\ne"
+    assert M.render(M.build_html("<table><tr><td>" * 1200 + "x")) == "x"
+
+
+def test_long_breadcrumb():
+    assert M.hidden_lines("Home > " + " > ".join(["Department of compass tools"] * 9) + "\nBody text of the page.") == [1]
+
+
 def test_deep_and_broken_markup():
     assert M.render(M.build_html("<div>" * 5000 + "x" + "</p></span>")) == "x"
     assert M.render(M.build_html("a < b and <unclosed")) == "a < b and <unclosed"

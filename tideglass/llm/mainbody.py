@@ -115,7 +115,7 @@ def implied_tag(line: str) -> str:
         known = sum(p in MENU or p in LEGAL for p in lows)
         if known >= 2 and known >= 0.6 * len(parts) or len(parts) == 2 and known == 2:
             return "bar"
-    if CRUMB.fullmatch(text) and len(text) < 140 and not text.endswith("."):
+    if CRUMB.fullmatch(text) and not text.endswith("."):
         return "crumb"
     slashed = [p.strip().casefold() for p in re.split(r"\s*/\s*", text)]
     if len(slashed) >= 2 and all(p in MENU or p in LEGAL for p in slashed):
@@ -126,10 +126,10 @@ def implied_tag(line: str) -> str:
 class Box:
     """A node of the page's tree: a tag, whether it shows, and children (boxes or (line number, text))."""
 
-    __slots__ = ("tag", "hidden", "children")
+    __slots__ = ("tag", "hidden", "children", "text")
 
     def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children = tag, hidden, []
+        self.tag, self.hidden, self.children, self.text = tag, hidden, [], ""
 
 
 HIDDEN = frozenset("nav aside dialog footer tools".split())
@@ -169,12 +169,22 @@ def build_lines(lines: list[str]) -> Box:
 
 # --- HTML -------------------------------------------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template svg head title iframe object nav aside footer dialog form select button".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figure figcaption h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+UNSEEN = frozenset("script style noscript template svg head title iframe object nav aside footer dialog select button".split())
+BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figure figcaption form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _OFF = re.compile(r"""(?i)(?:^|\s)(?:hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alertdialog))""")
-_OFF_CLASS = re.compile(r"""(?i)(?:class|id)\s*=\s*["'][^"']*(?:cookie|consent|navbar|breadcrumb|sidebar|footer|related-jobs|share-bar|newsletter)[^"']*["']""")
+_CLASSES = re.compile(r"""(?i)(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Class names of boxes beside the main body, as whole names.
+OFF_CLASSES = frozenset(f"{a}{b}" for a in ("cookie", "consent", "navbar", "breadcrumb", "breadcrumbs", "sidebar", "footer", "related-jobs", "share-bar", "newsletter", "site-footer", "page-footer", "main-nav", "site-nav") for b in ("", "-banner", "-notice", "-bar", "-box", "-popup", "-signup"))
+WHOLE = frozenset("html body main article".split())
+
+
+def is_off(name: str, attrs: str) -> bool:
+    """Whether a box is hidden by its tag, its attributes or one of its class names; the page as a whole never is by its class."""
+    if name in UNSEEN or _OFF.search(attrs):
+        return True
+    return name not in WHOLE and any(not OFF_CLASSES.isdisjoint("".join(m).lower().split()) for m in _CLASSES.findall(attrs))
 
 
 def build_html(html: str) -> Box:
@@ -199,7 +209,7 @@ def build_html(html: str) -> Box:
             del stack[closes:]
         if name in BLOCK and stack[-1].tag == "p":
             stack.pop()
-        box = Box(name, name in UNSEEN or bool(_OFF.search(m["attrs"]) or _OFF_CLASS.search(m["attrs"])))
+        box = Box(name, is_off(name, m["attrs"]))
         stack[-1].children.append(box)
         if name in ("script", "style", "noscript", "template", "svg") and name not in VOID:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -212,8 +222,27 @@ def build_html(html: str) -> Box:
     return root
 
 
-def render(root: Box) -> str:
-    """All visible text: blocks on lines of their own, paragraphs apart, list markers, cells of a table aligned."""
+def _rows(table: Box) -> list[Box]:
+    out, todo = [], list(reversed(table.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Box) and not c.hidden:
+            if c.tag == "tr":
+                out.append(c)
+            elif c.tag in ("tbody", "thead", "tfoot"):
+                todo += reversed(c.children)
+    return out
+
+
+def _table_text(table: Box) -> str:
+    """The cells of a table's rows, aligned; tables inside its cells have their text already."""
+    rows = [[" ".join(_flow(c).split()) for c in r.children if isinstance(c, Box) and c.tag in ("td", "th") and not c.hidden] for r in _rows(table)]
+    widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max((len(r) for r in rows), default=0))]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows if any(r))
+
+
+def _flow(root: Box) -> str:
+    """The visible text of a box whose tables have their text."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -223,41 +252,26 @@ def render(root: Box) -> str:
         if text:
             blocks.append(text)
 
-    def cells_of(row: Box) -> list[str]:
-        return [" ".join(render(c).split()) for c in row.children if isinstance(c, Box) and c.tag in ("td", "th") and not c.hidden]
-
-    def rows_of(box: Box) -> list[Box]:
-        out = []
-        for c in box.children:
-            if isinstance(c, Box) and not c.hidden:
-                out += [c] if c.tag == "tr" else rows_of(c) if c.tag in ("tbody", "thead", "tfoot") else []
-        return out
-
-    # an explicit stack: deep trees do not meet the recursion limit
-    todo: list[tuple[Box | tuple | None, str]] = [(c, "") for c in reversed(root.children)]
+    todo: list[Box | tuple | None] = list(reversed(root.children))  # a stack of its own: deep trees do not meet the recursion limit
     while todo:
-        node, mark = todo.pop()
+        node = todo.pop()
         if node is None:
             flush()
         elif isinstance(node, tuple):
-            line.append(mark + node[1])
+            line.append(node[1])
         elif node.hidden:
             continue
         elif node.tag == "br":
             line.append("\n")
         elif node.tag == "table":
             flush()
-            table = [cells_of(r) for r in rows_of(node)]
-            widths = [max((len(r[k]) for r in table if k < len(r)), default=0) for k in range(max((len(r) for r in table), default=0))]
-            text = "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in table if any(r))
-            if text:
-                blocks.append(text)
+            if node.text:
+                blocks.append(node.text)
         else:
-            block = node.tag in BLOCK
-            if block:
+            if node.tag in BLOCK:
                 flush()
-                todo.append((None, ""))
-            todo += [(c, "") for c in reversed(node.children)]
+                todo.append(None)
+            todo += reversed(node.children)
             if node.tag == "li":
                 line.append("• ")
     flush()
@@ -268,6 +282,20 @@ def render(root: Box) -> str:
     return out
 
 
+def render(root: Box) -> str:
+    """All visible text: blocks on lines of their own, paragraphs apart, list markers, cells of a table aligned; inner tables first."""
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Box) and not node.hidden:
+            if node.tag == "table":
+                tables.append(node)
+            todo += node.children
+    for table in reversed(tables):  # a table stands behind the one around it
+        table.text = _table_text(table)
+    return _flow(root)
+
+
 def looks_like_html(text: str) -> bool:
     return bool(re.search(r"</?(?:p|div|br|li|ul|ol|table|td|tr|span|a|h[1-6]|html|body|nav|footer|section)\b[^<>]*>", text, re.I))
 
