@@ -70,3 +70,14 @@ def test_extra_columns_do_not_clash(spark):
     checks = spark.createDataFrame([(1, "a", "2025-01-02", "z")], "verification_id long, source string, checked_at string, family string")
     sources = spark.createDataFrame([("a", "UTC", "dmy", 3)], "name string, zone string, date_order string, row_id int")
     assert M.resolve(M.workspace_values(items, checks), sources).count() == 2
+
+
+def test_share_at_rest_with_many_ambiguous_values(spark):
+    from pyspark.sql import functions as F
+
+    counts = spark.createDataFrame([(1_000.0, 0.0, 1_000_000.0, 0.5)], "a double, b double, e double, p double")
+    got = counts.select(M.mixture(F.col("a"), F.col("b"), F.col("p"), 4.0)).first()[0]
+    p = 0.5
+    for _ in range(100_000):
+        p = (1_000.0 + 1_000_000.0 * p + 0.5 * 4) / (1_000.0 + 1_000_000.0 + 4)
+    assert abs(got - p) < 1e-9 and got > 0.99

@@ -194,13 +194,13 @@ def readings(value: pd.Series, zone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"family": [r[0] for r in rows], "first_us": pd.array([r[1] for r in rows], dtype="Int64"), "second_us": pd.array([r[2] for r in rows], dtype="Int64")})
 
 
-def mixture(only_first: Column, only_second: Column, either: Column, prior: Column, strength: float) -> Column:
+def mixture(only_first: Column, only_second: Column, prior: Column, strength: float) -> Column:
     """The share of day-first values where expectation-maximisation comes to rest.
 
     A round gives ``(only_first + either * p + prior * strength) / (only_first + only_second + either + strength)``;
-    its only fixed point is the value below, whatever the number of ambiguous values.
+    its only fixed point is the value below, whatever the number of ambiguous values (``either``): they share
+    themselves out in the proportion of the others.
     """
-    del either  # values with both readings share themselves out in the proportion of the others
     return (only_first + prior * F.lit(strength)) / (only_first + only_second + F.lit(strength))
 
 
@@ -220,8 +220,8 @@ def estimate(read: DataFrame) -> DataFrame:
         one(a.isNotNull() & b.isNull()).alias("only_first"), one(a.isNull() & b.isNotNull()).alias("only_second"), one(a.isNotNull() & b.isNotNull() & (a != b)).alias("either"), F.count(F.lit(1)).alias("n"))
     declared = F.when(F.col("date_order") == "dmy", 0.9).when(F.col("date_order") == "mdy", 0.1).otherwise(0.5)
     pooled = counts.groupBy("date_order", "family").agg(*[F.sum(c).alias(c) for c in ("only_first", "only_second", "either")])
-    pooled = pooled.select("date_order", "family", mixture(F.col("only_first"), F.col("only_second"), F.col("either"), declared, PRIOR_STRENGTH).alias("prior"))
-    share = mixture(F.col("only_first"), F.col("only_second"), F.col("either"), F.col("prior"), PRIOR_STRENGTH)
+    pooled = pooled.select("date_order", "family", mixture(F.col("only_first"), F.col("only_second"), declared, PRIOR_STRENGTH).alias("prior"))
+    share = mixture(F.col("only_first"), F.col("only_second"), F.col("prior"), PRIOR_STRENGTH)
     return counts.join(pooled, ["date_order", "family"]).select("source", "family", "date_order", "n", "only_first", "only_second", "either", share.alias("day_first"))
 
 
