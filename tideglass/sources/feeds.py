@@ -227,7 +227,7 @@ BUILDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"html": page_list, "rss
 
 def _accepted(rows: DataFrame) -> DataFrame:
     """Postings that pass the conditions of their own source; the lists differ by row."""
-    forms = {"title": T.match_form(F.col("title")), "place": T.match_form(F.col("location")), "all": T.match_form(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("title", "snippet", "url", "company", "location", "employment_type", "position_level")]))}
+    forms = {"told": T.match_form(F.concat_ws(" ", "title", "snippet")), "title": T.match_form(F.col("title")), "place": T.match_form(F.col("location")), "all": T.match_form(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("title", "snippet", "url", "company", "location", "employment_type", "position_level")]))}
     rows = rows.withColumns({f"_{k}": v for k, v in forms.items()})
 
     def meets(form: str, terms: str, every: bool = False) -> Column:
@@ -241,7 +241,9 @@ def _accepted(rows: DataFrame) -> DataFrame:
         return F.coalesce((F.size(terms) <= 0) | found, F.lit(True))
 
     kept = rows.where(meets("_place", "s.require_location_any") & meets("_title", "s.require_title_any") & meets("_all", "s.require_any") & meets("_title", "s.require_title_all", every=True))
-    return kept.drop("_title", "_place", "_all")
+    # an article must be told of by its title and summary, not by its address or its source's own fields
+    kept = kept.where((F.col("source_type") != "wechat_search") | meets("_told", "s.require_any"))
+    return kept.drop("_told", "_title", "_place", "_all")
 
 
 def collect(sources: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
