@@ -90,5 +90,31 @@ def test_calibration_counts_all_pairs(spark):
     assert len(table) == 2 * M.BINS and [(r.n_pairs, r.n_agreeing) for r in table if r.same_words and r.from_score == 0.975 and r.n_agreeing] and sum(r.n_agreeing for r in table) == 1
 
 
+def test_nothing_goes_through_the_driver(spark, tmp_path):
+    items(spark, [*openings(30), (999, "d", "Data Engineer, Iron Fox0001", "Acme Foods", "Bern", None, None)]).write.parquet(f"{tmp_path}/items")
+    df = spark.read.parquet(f"{tmp_path}/items")  # a file, so that its size is known
+    heads, _ = M.records(df, places(spark))
+    profiles = heads.groupBy("vec", *M.PROFILE).agg(M.F.max(M.F.col("number").isNull()).alias("is_open"))
+    pairs = M.scored(M.open_pairs(profiles), heads, "vec")
+    for made in (M.match(df, places(spark)), pairs, M.counted(pairs, heads)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()  # whatever their estimated sizes
+
+
+def test_open_pairs_are_those_of_the_keys(spark):
+    rnd, rows = random.Random(5), []
+    for k in range(400):
+        t, c = rnd.choice([0, 3, 1 << 127, (1 << 128) - 1]), rnd.choice([0, 5, 1 << 63])
+        for _ in range(rnd.randint(0, 6)):
+            t ^= 1 << rnd.randrange(M.TITLE_BITS)
+        for _ in range(rnd.randint(0, 5)):
+            c ^= 1 << rnd.randrange(M.COMPANY_BITS)
+        rows.append((k, M.signed(t), M.signed(t >> 64), M.signed(c), "", "", rnd.choice([0, 10, 10, 11]), rnd.random() < 0.3, set(M.table_keys(t, c, 0)), set(M.wide_keys(t, c))))
+    near = lambda x, y: (x[6] == y[6] > 0 and x[8] & y[8]) or (0 in (x[6], y[6]) and x[9] & y[9])
+    want = sorted((x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if (x[7] or y[7]) and near(x, y)) + [(x[0], x[0]) for x in rows if x[7]]
+    profiles = spark.createDataFrame([x[:8] for x in rows], "vec long, t_low long, t_high long, c long, words string, name string, place int, is_open boolean")
+    got = [(r.a, r.b) for r in M.open_pairs(profiles).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+
+
 def test_empty(spark):
     assert M.match(items(spark, [(1, "a", "t", "c", "p", "j", "u")]).limit(0), places(spark)).count() == 0
